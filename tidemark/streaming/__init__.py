@@ -1,0 +1 @@
+"""Empty on purpose: all inputs of this warehouse are daily batches, nothing is computed on a stream."""
