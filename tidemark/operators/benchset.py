@@ -51,7 +51,7 @@ def q8_rank_category(hot_rank: DataFrame, categories: DataFrame, day, n: int = 1
         .select("product_id", "category_id", "sales_amount")
         .join(categories.select("category_id", "category_code"), "category_id", "left")
         .select("product_id", "category_code", "sales_amount")
-        .orderBy(F.desc_nulls_last("sales_amount"), F.asc("product_id"))
+        .orderBy(F.round("sales_amount", 4).desc_nulls_last(), F.asc("product_id"))
         .limit(n)
     )
 
@@ -63,7 +63,9 @@ def q9_buyers(fact: DataFrame) -> DataFrame:
 
 
 def q10_topn_window(product_daily: DataFrame, n: int = 100) -> DataFrame:
-    order = Window.partitionBy("event_date").orderBy(F.desc_nulls_last("sales_amount"), F.asc("product_id"))
+    order = Window.partitionBy("event_date").orderBy(
+        F.round("sales_amount", 4).desc_nulls_last(), F.asc("product_id")
+    )
     return (
         product_daily.select("event_date", "product_id", "sales_amount")
         .withColumn("rn", F.row_number().over(order))
@@ -89,14 +91,14 @@ SQL = {
         SELECT h.product_id, c.category_code, h.sales_amount
         FROM hot_rank h LEFT JOIN dim_category c USING (category_id)
         WHERE h.event_date = CAST(:day AS DATE)
-        ORDER BY h.sales_amount DESC NULLS LAST, h.product_id LIMIT 100""",
+        ORDER BY ROUND(h.sales_amount, 4) DESC NULLS LAST, h.product_id LIMIT 100""",
     "q9_buyers": """
         SELECT user_id, COUNT(*) AS cnt, SUM(price) AS total_price
         FROM fact WHERE event_type = 'purchase' GROUP BY user_id""",
     "q10_topn_window": """
         SELECT * FROM (
             SELECT event_date, product_id, sales_amount,
-                   ROW_NUMBER() OVER (PARTITION BY event_date ORDER BY sales_amount DESC NULLS LAST, product_id) AS rn
+                   ROW_NUMBER() OVER (PARTITION BY event_date ORDER BY ROUND(sales_amount, 4) DESC NULLS LAST, product_id) AS rn
             FROM product_daily) WHERE rn <= 100""",
 }
 

@@ -48,9 +48,10 @@ def hot_rank_daily(product_daily: DataFrame, n: int = K.HOT_RANK_SIZE) -> DataFr
     """The n best products of every day: amount, then count, then id.
 
     Each task keeps n rows per day before the shuffle, so the window never sees a whole day.
+    Amounts are ordered at four decimals: below that only the order of summation shows.
     """
     order = Window.partitionBy("event_date").orderBy(
-        F.desc_nulls_last("sales_amount"), F.desc_nulls_last("sales_cnt"), F.asc("product_id")
+        F.round("sales_amount", 4).desc_nulls_last(), F.desc_nulls_last("sales_cnt"), F.asc("product_id")
     )
     return (
         product_daily.withColumn("rank", F.row_number().over(order))
