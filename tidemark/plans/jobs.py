@@ -33,9 +33,11 @@ LAYERS = ("dwd", "dws", "dim", "ads")
 class _Run:
     """One run: its range, and the range that retention and RFM look back over."""
 
-    def __init__(self, wh: Warehouse, start, end, data_start, single_day: bool, skip_existing: bool, force: bool):
+    def __init__(self, wh: Warehouse, start, end, data_start, single_day=False, skip_existing=False, force=False,
+                 on_block="raise"):
         self.wh, self.start, self.end, self.data_start = wh, str(start), str(end), str(data_start)
         self.single_day, self.skip_existing, self.force = single_day, skip_existing, force
+        self.on_block = on_block
 
     def days(self, name: str) -> DataFrame:
         return self.wh.read(name, self.start, self.end)
@@ -43,6 +45,10 @@ class _Run:
     def put(self, name: str, df: DataFrame) -> Written:
         return self.wh.write_partitions(name, df, covering=(self.start, self.end))
 
+    def judge(self, gate: DataFrame) -> None:
+        if self.on_block == "raise":
+            quality.raise_on_block(gate)
+
     # --- dwd ---
     def dwd_event_fact(self) -> Written:
         absent = self.wh.missing_days(RAW, self.start, self.end)
@@ -63,7 +69,7 @@ class _Run:
 
     def dwd_event_fact_dqc(self) -> None:
         gate = quality.dwd_gate(self.days(RAW), self.days(FACT), self.days(DIRTY), self.start, self.end)
-        quality.raise_on_block(gate)
+        self.judge(gate)
 
     # --- dws ---
     def dws_user_session(self):
@@ -121,7 +127,7 @@ class _Run:
     # --- ads ---
     def ads_trade(self):
         written = self.put(TRADE, reports.trade_daily(self.days(USER), self.start, self.end))
-        quality.raise_on_block(quality.gmv_gate(self.wh.read(TRADE), self.start, self.end))
+        self.judge(quality.gmv_gate(self.wh.read(TRADE), self.start, self.end))
         return written
 
     def ads_conversion_funnel(self):
@@ -183,17 +189,20 @@ def _execute(run: _Run, layers, steps) -> dict[str, Written | None]:
     return done
 
 
-def build_range(wh: Warehouse, start, end, layers=None, steps=None, skip_existing=False, force=False) -> dict:
+def build_range(wh: Warehouse, start, end, layers=None, steps=None, skip_existing=False, force=False,
+                on_block="raise") -> dict:
     """Rebuild all tables for ``[start, end]``; dimensions are rebuilt, retention and RFM look at the range.
 
-    A blocking gate raises and stops the run; what was written before stays.
+    A blocking gate raises and stops the run; what was written before stays. With
+    ``on_block="continue"`` the gates are left to the caller.
     """
-    return _execute(_Run(wh, start, end, start, False, skip_existing, force), layers, steps)
+    run = _Run(wh, start, end, start, skip_existing=skip_existing, force=force, on_block=on_block)
+    return _execute(run, layers, steps)
 
 
-def build_day(wh: Warehouse, dt, data_start, layers=None, steps=None) -> dict:
+def build_day(wh: Warehouse, dt, data_start, layers=None, steps=None, on_block="raise") -> dict:
     """Add one day: dimensions are merged, retention and RFM look back to ``data_start``."""
-    return _execute(_Run(wh, dt, dt, data_start, True, False, False), layers, steps)
+    return _execute(_Run(wh, dt, dt, data_start, single_day=True, on_block=on_block), layers, steps)
 
 
 def check(wh: Warehouse, start, end) -> DataFrame:
