@@ -26,7 +26,7 @@ def with_dirty_reason(raw: DataFrame) -> DataFrame:
 
 def dirty_events(raw: DataFrame) -> DataFrame:
     """Rejected rows. A row without a readable time is one of them, under the NULL day."""
-    return with_dirty_reason(raw).filter(F.col("dirty_reason").isNotNull()).select(*DIRTY_COLUMNS)
+    return with_event_date(with_dirty_reason(raw)).filter(F.col("dirty_reason").isNotNull()).select(*DIRTY_COLUMNS)
 
 
 def dirty_summary(raw: DataFrame) -> DataFrame:
