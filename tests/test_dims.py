@@ -61,7 +61,7 @@ def test_missing_session_counts_as_a_shared_value_but_is_no_session(spark):
 
 def test_category_levels_and_todays_code_wins(spark):
     rows = [event(0, 1, "view", 1, "a", 1, code="z.y.x"), event(1, 1, "view", 1, "a", 1, code="a.b"),
-            event(0, 1, "view", 1, "a", 1, code=None, category=11)]
+            event(0, 2, "view", 1, "a", 1, code=None, category=11)]
     fact = facts(spark, rows)
     full = {r.category_id: r for r in dims.category_dim(fact).collect()}
     assert full[10].category_code == "z.y.x" and full[10].category_l3 == "x"

@@ -114,8 +114,13 @@ def _level(code: str, index: int) -> Column:
 
 
 def category_dim(fact: DataFrame) -> DataFrame:
-    """Largest code over all days, and the largest value of each level."""
-    return fact.filter(F.col("category_id").isNotNull()).groupBy("category_id").agg(
+    """Largest code over all days, and the largest value of each level.
+
+    The distinct codes come first: that is a hash aggregation, while a maximum of
+    texts has to sort its input.
+    """
+    codes = fact.filter(F.col("category_id").isNotNull()).select("category_id", "category_code").distinct()
+    return codes.groupBy("category_id").agg(
         F.max("category_code").alias("category_code"),
         *(F.max(_level("category_code", i)).alias(f"category_l{i + 1}") for i in range(3)),
     )

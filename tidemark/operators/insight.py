@@ -17,35 +17,58 @@ def _bought() -> Column:
     return F.col("is_purchase") == 1
 
 
-def _visits(fact: DataFrame, *keys: str) -> DataFrame:
-    """One row per (keys, user, session) with amount and purchases: the input of the distinct counts."""
-    return fact.groupBy(*keys, "user_id", "user_session").agg(
+_AMOUNTS = ("amount", "purchases")
+
+
+def _user_totals(fact: DataFrame, *keys: str) -> DataFrame:
+    return fact.groupBy(*keys, "user_id").agg(
         sum_if(_bought(), F.col("price")).alias("amount"), F.sum("is_purchase").alias("purchases")
     )
 
 
-def _kpis(visits: DataFrame, *keys) -> DataFrame:
-    buys = F.col("purchases") > 0
-    return visits.groupBy(*keys).agg(
-        F.sum("amount").alias("amount"),
-        F.sum("purchases").alias("purchases"),
-        F.countDistinct("user_id").alias("active_users"),
-        F.countDistinct(F.when(buys, F.col("user_id"))).alias("buyers"),
-        F.countDistinct(F.when(buys, F.col("user_session"))).alias("buying_sessions"),
-    ).withColumn("buyer_share", ratio_or_null(F.col("buyers"), F.col("active_users")))
+def _buying_sessions(fact: DataFrame, *keys: str) -> DataFrame:
+    return fact.filter(_bought() & F.col("user_session").isNotNull()).select(*keys, "user_session").distinct()
+
+
+def _kpis(users: DataFrame, sessions: DataFrame, key: str) -> DataFrame:
+    """From one row per (key, user) and one per (key, session): plain counts, and a join of one row per key."""
+    totals = users.groupBy(key).agg(
+        *(F.sum(c).alias(c) for c in _AMOUNTS),
+        F.count("user_id").alias("active_users"),
+        cnt_if(F.col("purchases") > 0).alias("buyers"),
+    )
+    counted = sessions.groupBy(key).agg(F.count("*").alias("buying_sessions"))
+    return (
+        totals.join(counted, key, "left")
+        .na.fill(0, ["buying_sessions"])
+        .withColumn("buyer_share", ratio_or_null(F.col("buyers"), F.col("active_users")))
+    )
 
 
 def window_kpis(fact: DataFrame, windows: list[tuple[str, str, str]]) -> DataFrame:
-    """KPIs of each named window ``(name, first day, last day)``; windows may overlap."""
-    member = F.array(*(F.when(between_days(a, b), F.lit(name)) for name, a, b in windows))
+    """KPIs of each named window ``(name, first day, last day)``; windows may overlap.
+
+    Days in the same windows are reduced together first, so a user is repeated per
+    window only after that, and not for every event or day.
+    """
+    member = F.array_compact(F.array(*(F.when(between_days(a, b), F.lit(name)) for name, a, b in windows)))
     first = min(a for _, a, _ in windows)
     last = max(b for _, _, b in windows)
-    visits = _visits(fact.filter(between_days(first, last)), "event_date")
-    return _kpis(visits.withColumn("window_name", F.explode(F.array_compact(member))), "window_name")
+    days = fact.filter(between_days(first, last)).withColumn("windows", member)
+
+    def per_window(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(F.explode("windows").alias("window_name"), *columns)
+
+    users = per_window(_user_totals(days, "windows"), "user_id", *_AMOUNTS).groupBy("window_name", "user_id").agg(
+        *(F.sum(c).alias(c) for c in _AMOUNTS)
+    )
+    sessions = per_window(_buying_sessions(days, "windows"), "user_session").distinct()
+    return _kpis(users, sessions, "window_name")
 
 
 def daily_trend(fact: DataFrame, start, end) -> DataFrame:
-    return _kpis(_visits(fact.filter(between_days(start, end)), "event_date"), "event_date")
+    days = fact.filter(between_days(start, end))
+    return _kpis(_user_totals(days, "event_date"), _buying_sessions(days, "event_date"), "event_date")
 
 
 def attr_ranking(fact: DataFrame, attr: str, n: int = 20) -> DataFrame:
