@@ -248,10 +248,14 @@ def overview_cross_check(overview, trade, funnel, session_report) -> DataFrame:
 
 
 def overview_edges(overview: DataFrame, days: int = 3) -> DataFrame:
-    """The first and the last days of the overview. The report has one row per day."""
-    first = overview.orderBy("event_date").limit(days)
-    last = overview.orderBy(F.desc("event_date")).limit(days)
-    return first.unionByName(last).dropDuplicates(["event_date"])
+    """The first and the last days of the overview, in one pass; the window sees one row per day."""
+    from_start = F.row_number().over(Window.orderBy("event_date"))
+    from_end = F.row_number().over(Window.orderBy(F.desc("event_date")))
+    return (
+        overview.withColumns({"_first": from_start, "_last": from_end})
+        .filter((F.col("_first") <= days) | (F.col("_last") <= days))
+        .drop("_first", "_last")
+    )
 
 
 def overview_shape(overview: DataFrame) -> DataFrame:

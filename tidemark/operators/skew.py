@@ -7,6 +7,8 @@ aggregates themselves are heavy.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,15 @@ def agg_salted(df: DataFrame, key: str = "product_id", buckets: int = K.SALT_BUC
 
 
 def hot_keys(
-    df: DataFrame, key: str = "product_id", rows: int | None = None, min_share: float = 0.01,
+    df: DataFrame, key: str | list[str] = "product_id", rows: int | None = None, min_share: float = 0.01,
     fraction: float = K.HOT_KEY_SAMPLE, seed: int = 1,
 ) -> DataFrame:
     """Keys that are heavy in a sample: at least ``min_share`` of it, and more than ``rows`` rows scaled down.
 
     A share bounds the answer: at most 1 / min_share keys can hold that much.
     """
-    counts = df.select(key).sample(fraction=fraction, seed=seed).groupBy(key).agg(F.count("*").alias("sample_rows"))
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = df.select(*keys).sample(fraction=fraction, seed=seed).groupBy(*keys).agg(F.count("*").alias("sample_rows"))
     total = counts.agg(F.sum("sample_rows").alias("n")).scalar()
     heavy = F.col("sample_rows") >= F.ceil(total * min_share)
     if rows is not None:
@@ -58,6 +61,31 @@ def hot_keys(
     return counts.filter(heavy)
 
 
+def join_split_hot(
+    large: DataFrame, small: DataFrame, keys: list[str], hot: list, buckets: int = K.SALT_BUCKETS
+) -> DataFrame:
+    """Inner join in which the rows of the heavy keys of ``large`` are spread over ``buckets`` tasks.
+
+    The matching rows of ``small`` are repeated per bucket, for those keys only.
+    ``hot`` is the collected answer of :func:`hot_keys`, at most 1 / min_share rows:
+    both sides must see the same keys, so they are fixed before the join. Which
+    keys they are changes where rows are joined, not the result; without any, it
+    is a plain join.
+    """
+    if not hot:
+        return large.join(small, keys)
+    known = large.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], large.select(*keys).schema)
+    heavy = F.broadcast(known.withColumn("_hot", F.lit(True)))
+    spread = large.join(heavy, keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), _salt(large, buckets)).otherwise(F.lit(0))
+    ).drop("_hot")
+    all_salts = F.array(*(F.lit(i) for i in range(buckets)))
+    repeated = small.join(heavy, keys, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
+    ).drop("_hot")
+    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def agg_salted_hot(
     df: DataFrame, hot: DataFrame, key: str = "product_id", buckets: int = K.SALT_BUCKETS
 ) -> DataFrame:
@@ -87,34 +115,40 @@ def key_share(df: DataFrame, key: str = "product_id", k: int = 6) -> DataFrame:
 
 
 def skew_equivalence(df: DataFrame, key: str = "product_id") -> DataFrame:
-    """Each variant against the plain one, value by value: keys compared and keys that differ."""
-    base = agg_naive(df, key)
-    variants = {
+    """Each variant against the plain one, value by value: keys of either side, and keys that differ.
+
+    All forms meet in one aggregation by key, so the plain one is computed once.
+    """
+    forms = {
+        "naive": agg_naive(df, key),
         "salted_all": agg_salted(df, key),
         "salted_hot": agg_salted_hot(df, hot_keys(df, key), key),
         "rebalance": agg_rebalance(df, key),
     }
-    # the sides meet in one aggregation: +1 for the plain value, -1 for the variant
-    def signed(frame: DataFrame, name: str, sign: int) -> DataFrame:
-        return frame.select(
-            F.lit(name).alias("variant"), key, F.lit(sign).alias("sign"),
-            *(F.col(m) * sign if m == "row_cnt" else F.round(F.col(m) * sign, 4).alias(m) for m in _MEASURES),
-        ).toDF("variant", key, "sign", *_MEASURES)
-
-    parts = None
-    for name, frame in variants.items():
-        both = signed(base, name, 1).unionByName(signed(frame, name, -1))
-        parts = both if parts is None else parts.unionByName(both)
-    per_key = parts.groupBy("variant", key).agg(
-        F.sum("sign").alias("sides"), *(F.sum(m).alias(m) for m in _MEASURES)
-    )
-    differs = (
-        (F.col("sides") != 0) | (F.col("row_cnt") != 0) | (F.abs("gmv") > K.MONEY_TOLERANCE)
-        | (F.abs("sales_cnt") > 1e-6)
-    )
-    return per_key.groupBy("variant").agg(
-        F.count("*").alias("keys"), F.sum(F.when(differs, 1).otherwise(0)).alias("diff_keys")
-    )
+    stacked = reduce(DataFrame.unionByName, [f.withColumn("form", F.lit(n)) for n, f in forms.items()])
+
+    def value(form: str, measure: str) -> Column:
+        return F.sum(F.when(F.col("form") == form, F.col(measure)))
+
+    per_key = stacked.groupBy(key).agg(*(value(f, m).alias(f"{f}_{m}") for f in forms for m in _MEASURES))
+
+    def differs(form: str) -> Column:
+        rows = ~F.col(f"{form}_row_cnt").eqNullSafe(F.col("naive_row_cnt"))
+        sums = [
+            F.abs(F.col(f"{form}_{m}") - F.col(f"naive_{m}")) > K.MONEY_TOLERANCE for m in ("gmv", "sales_cnt")
+        ]
+        return rows | F.coalesce(sums[0] | sums[1], F.lit(False))
+
+    variants = [f for f in forms if f != "naive"]
+    counted = per_key.agg(*(
+        F.struct(
+            F.lit(f).alias("variant"),
+            F.count(F.when(F.col(f"{f}_row_cnt").isNotNull() | F.col("naive_row_cnt").isNotNull(), 1)).alias("keys"),
+            F.sum(F.when(differs(f), 1).otherwise(0)).alias("diff_keys"),
+        ).alias(f)
+        for f in variants
+    ))
+    return counted.select(F.inline(F.array(*variants)))
 
 
 # --- task metrics ---------------------------------------------------------------
