@@ -36,6 +36,7 @@ def session() -> SparkSession:
         .appName("bench")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

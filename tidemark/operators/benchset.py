@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import day_literal, is_type
+from ..session import stack
 from .daily import type_users_daily
 
 
@@ -110,10 +111,10 @@ def sql_form(spark: SparkSession, name: str, day=None) -> DataFrame:
 
 def row_gate(results: dict[str, DataFrame], expected: dict[str, int]) -> DataFrame:
     """Rows each query returned against the rows it must return; a time counts only where ``ok`` is 1."""
-    out = None
-    for name, df in results.items():
-        row = df.agg(F.count("*").alias("actual_rows")).select(
+    rows = [
+        df.agg(F.count("*").alias("actual_rows")).select(
             F.lit(name).alias("query"), F.lit(expected[name]).cast("bigint").alias("expected_rows"), "actual_rows"
         )
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("ok", F.when(F.col("expected_rows") == F.col("actual_rows"), 1).otherwise(0))
+        for name, df in results.items()
+    ]
+    return stack(rows).withColumn("ok", F.when(F.col("expected_rows") == F.col("actual_rows"), 1).otherwise(0))

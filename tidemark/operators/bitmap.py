@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import between_days, day_literal, flag, ratio_or_null
+from ..session import stack
 
 
 def build_uv_bitmap(active: DataFrame) -> DataFrame:
@@ -127,12 +128,14 @@ def uv_consistency(fact: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Bitmap count against a distinct count, in total and per month."""
     month = F.date_format("event_date", "yyyy-MM").alias("period")
     seen = fact.select(month, "user_id").filter(F.col("user_id").isNotNull()).distinct()
-    exact = seen.groupBy("period").agg(F.count("*").alias("distinct_uv")).unionByName(
-        seen.select("user_id").distinct().agg(F.count("*").alias("distinct_uv")).withColumn("period", F.lit("total"))
-    )
-    from_bitmap = uv_monthly(bitmaps).select(F.col("ym").alias("period"), F.col("uv").alias("bitmap_uv")).unionByName(
-        uv_total(bitmaps).select(F.lit("total").alias("period"), F.col("uv").alias("bitmap_uv"))
-    )
+    exact = stack([
+        seen.groupBy("period").agg(F.count("*").alias("distinct_uv")),
+        seen.select("user_id").distinct().agg(F.count("*").alias("distinct_uv")).withColumn("period", F.lit("total")),
+    ])
+    from_bitmap = stack([
+        uv_monthly(bitmaps).select(F.col("ym").alias("period"), F.col("uv").alias("bitmap_uv")),
+        uv_total(bitmaps).select(F.lit("total").alias("period"), F.col("uv").alias("bitmap_uv")),
+    ])
     return exact.join(from_bitmap, "period", "full_outer").select(
         "period", "distinct_uv", "bitmap_uv",
         (F.coalesce("distinct_uv", F.lit(0)) - F.coalesce("bitmap_uv", F.lit(0))).alias("diff"),

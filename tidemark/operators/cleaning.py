@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import dirty_reason, flag, is_type, label_of
 from ..schemas import TABLES
+from ..session import stack
 
 FACT_COLUMNS = TABLES["dwd_event_fact"].column_names
 DIRTY_COLUMNS = TABLES["dwd_event_dirty"].column_names
@@ -91,7 +92,7 @@ def account_balance(ods: DataFrame, fact: DataFrame, dirty: DataFrame) -> DataFr
             (F.col("n") * bad).alias("dirty_cnt"),
         )
 
-    streams = counted(ods, 1, 0, 0).unionByName(counted(fact, 0, 1, 0)).unionByName(counted(dirty, 0, 0, 1))
+    streams = stack([counted(ods, 1, 0, 0), counted(fact, 0, 1, 0), counted(dirty, 0, 0, 1)])
     totals = streams.groupBy("event_date").agg(
         *(F.sum(c).alias(c) for c in ("source_cnt", "clean_cnt", "dirty_cnt"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import between_days, calendar, cnt_if, day_literal, flag, on_calendar, unusable_number
+from ..session import prepare_session, stack
 
 PASS, WARN, BLOCK = "PASS", "WARN", "BLOCK"
 GATE_COLUMNS = ("event_date", "seq", "code", "item", "status", "detail")
@@ -144,13 +145,14 @@ def ods_gate(ods: DataFrame, start, end) -> DataFrame:
         *_null_checks(K.NULL_RATE_MAX),
         _price_check(K.BAD_PRICE_RATE_MAX),
     ]
-    return _rows(metrics, checks).unionByName(volume_gate(ods, start, end))
+    return stack([_rows(metrics, checks), volume_gate(ods, start, end)])
 
 
 # --- fact gate --------------------------------------------------------------
 
 def dwd_gate(ods: DataFrame, fact: DataFrame, dirty: DataFrame, start, end) -> DataFrame:
     """Seven checks of the fact table per day."""
+    prepare_session(fact.sparkSession)  # the tables given may be unions
     in_range = between_days(start, end)
     no_key = (
         F.col("event_time").isNull() | F.col("user_id").isNull() | F.col("product_id").isNull()

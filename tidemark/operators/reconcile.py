@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import between_days, calendar, cnt_if, day_literal, day_number, flag, sum_if
+from ..session import stack
 from .daily import type_users_daily
 
 
 def _side_by_side(totals: dict[str, DataFrame], value: str) -> DataFrame:
     """One row with one column per named one-row total, NULL as 0."""
     tagged = [df.select(F.lit(name).alias("side"), F.col(value).alias("v")) for name, df in totals.items()]
-    stacked = reduce(DataFrame.unionByName, tagged)
+    stacked = stack(tagged)
     return stacked.agg(*(
         F.coalesce(F.max(F.when(F.col("side") == name, F.col("v"))), F.lit(0)).alias(name) for name in totals
     ))
@@ -138,7 +139,7 @@ def row_expectations(hot_rank, product, daily_reports: dict[str, DataFrame], rfm
         F.lit("ads_user_rfm_snapshot").alias("table_name"), "expected_rows", "actual_rows",
         flag(F.col("expected_rows") != F.col("actual_rows")).cast("bigint").alias("bad_days"),
     ))
-    return reduce(DataFrame.unionByName, parts).withColumn("ok", flag(F.col("bad_days") == 0))
+    return stack(parts).withColumn("ok", flag(F.col("bad_days") == 0))
 
 
 # --- daily overview -----------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import between_days, cnt_if, day_literal, flag
 from ..schemas import TABLES
+from ..session import stack
 from .numbering import number_rows
 
 ATTRIBUTES = ("category_id", "category_code", "brand")
@@ -100,9 +101,9 @@ def scd2_merge(dim: DataFrame, fact: DataFrame, dt) -> DataFrame:
     )
     newest = Window.partitionBy("product_id").orderBy(F.desc("dim_product_sk"))
     current = dim.filter(F.col("dw_is_current") == 1).withColumn("rn", F.row_number().over(newest))
-    untouched = dim.filter(F.coalesce(F.col("dw_is_current"), F.lit(0)) != 1).unionByName(
-        current.filter(F.col("rn") > 1).drop("rn")
-    )
+    untouched = stack([
+        dim.filter(F.coalesce(F.col("dw_is_current"), F.lit(0)) != 1), current.filter(F.col("rn") > 1).drop("rn")
+    ])
     pairs = current.filter(F.col("rn") == 1).drop("rn").join(today, "product_id", "full_outer")
     changes = F.col("seen").isNotNull() & (_identity() != _identity("new_"))
     after = pairs.filter(F.col("dim_product_sk").isNotNull()).select(
@@ -119,7 +120,7 @@ def scd2_merge(dim: DataFrame, fact: DataFrame, dt) -> DataFrame:
     )
     last_key = dim.agg(F.coalesce(F.max("dim_product_sk"), F.lit(0)).alias("k")).scalar()
     numbered = number_rows(opened, ["product_id"], "dim_product_sk", after=last_key)
-    return untouched.select(*COLUMNS).unionByName(after).unionByName(numbered.select(*COLUMNS))
+    return stack([untouched.select(*COLUMNS), after, numbered.select(*COLUMNS)])
 
 
 def scd2_preflight(dim: DataFrame, dt) -> DataFrame:

@@ -7,12 +7,11 @@ aggregates themselves are heavy.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import stack
 
 _MEASURES = ("gmv", "sales_cnt", "row_cnt")
 
@@ -125,7 +124,7 @@ def skew_equivalence(df: DataFrame, key: str = "product_id") -> DataFrame:
         "salted_hot": agg_salted_hot(df, hot_keys(df, key), key),
         "rebalance": agg_rebalance(df, key),
     }
-    stacked = reduce(DataFrame.unionByName, [f.withColumn("form", F.lit(n)) for n, f in forms.items()])
+    stacked = stack([f.withColumn("form", F.lit(n)) for n, f in forms.items()])
 
     def value(form: str, measure: str) -> Column:
         return F.sum(F.when(F.col("form") == form, F.col(measure)))

@@ -7,7 +7,6 @@ whatever the number of days.
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import between_days, calendar
 from ..operators import bitmap, cleaning, daily, dims, quality, reconcile, reports, scd2
+from ..session import stack
 from ..sources.events import RAW
 from ..sources.warehouse import Warehouse, Written
 
@@ -226,7 +226,7 @@ def check(wh: Warehouse, start, end) -> DataFrame:
         df.select(F.lit(name).alias("check"), F.col("ok").cast("int").alias("ok"), F.to_json(F.struct("*")).alias("detail"))
         for name, df in results.items()
     ]
-    return reduce(DataFrame.unionByName, rows)
+    return stack(rows)
 
 
 def backfill(wh: Warehouse, events: DataFrame, start, end) -> DataFrame:
@@ -241,7 +241,7 @@ def backfill(wh: Warehouse, events: DataFrame, start, end) -> DataFrame:
     incoming = cleaning.with_event_date(events).select(*wh.spec(RAW).column_names).filter(
         F.col("event_date").isin(wanted) if wanted else F.lit(False)
     )
-    gate = quality.ods_gate(wh.read(RAW).unionByName(incoming), start, end).filter(F.col("status") == quality.BLOCK)
+    gate = quality.ods_gate(stack([wh.read(RAW), incoming]), start, end).filter(F.col("status") == quality.BLOCK)
     blocked: dict = {}
     for row in gate.select("event_date", "seq", "code").orderBy("event_date", "seq").collect():  # a few rows per day
         blocked.setdefault(row.event_date, []).append(row.code)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings worth having on a cluster. Sizes, not counts: with AQE the number of
 #: shuffle partitions follows the data, so the initial number may be generous.
 CLUSTER_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -30,15 +32,30 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return use_utc(builder.getOrCreate())
+    return prepare_session(builder.getOrCreate())
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Days are UTC days: another zone would move late events to the next day."""
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on.
+
+    Days are UTC days: another zone would move late events to the next day.
+
+    Spark 4.1 may plan an aggregation over a union without a shuffle, trusting that
+    both inputs are partitioned alike, and then run the union as a mere
+    concatenation when one input is a reused exchange: groups stay split and counts
+    are wrong. That optimization is switched off.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 
+def stack(frames: list[DataFrame]) -> DataFrame:
+    """Union by name, in a session where aggregating it is safe."""
+    prepare_session(frames[0].sparkSession)
+    return reduce(DataFrame.unionByName, frames)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CART, PURCHASE, REMOVE, VIEW
-from ..session import use_utc
+from ..session import prepare_session
 
 
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw events with dirty rows and duplicates, in the source schema plus ``event_date``."""
-    use_utc(spark)
+    prepare_session(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     eid = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -64,7 +64,7 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skewed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines with one key on about 45% of the rows."""
-    use_utc(spark)
+    prepare_session(spark)
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return li.select(
         F.when(F.col("l_orderkey") % 100 < 45, F.lit(9000001).cast("bigint")).otherwise(F.col("l_partkey")).alias(

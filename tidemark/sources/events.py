@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import day_literal
 from ..operators.cleaning import with_event_date
 from ..schemas import EVENT_SCHEMA, EVENT_TIME_FORMAT
-from ..session import use_utc
+from ..session import prepare_session
 from .warehouse import Warehouse, Written
 
 RAW = "ods_event_log"
@@ -18,7 +18,7 @@ RAW = "ods_event_log"
 
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
     """Events from CSV with header, in the fixed schema; a value that does not parse is NULL."""
-    use_utc(spark)
+    prepare_session(spark)
     return spark.read.schema(EVENT_SCHEMA).csv(path, header=True, sep=",", timestampFormat=EVENT_TIME_FORMAT)
 
 

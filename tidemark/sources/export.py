@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
-from ..session import use_utc
+from ..session import prepare_session, stack
 from .warehouse import Warehouse
 
 # The CSV dialect of the receiving side
@@ -51,19 +51,18 @@ def export_csv(wh: Warehouse, out: str, names=EXPORTABLE) -> DataFrame:
 
 def verify_export(wh: Warehouse, out: str) -> DataFrame:
     """Manifest against the files: same columns, same number of rows."""
-    use_utc(wh.spark)
+    prepare_session(wh.spark)
     entries = wh.spark.read.schema(_MANIFEST).json(f"{out}/manifest")
-    counted = None
+    counted = []
     for row in entries.collect():  # one row per table
         schema = wh.spec(row.table_name).schema
         loaded = wh.spark.read.schema(schema).options(**CSV_OPTIONS).csv(f"{out}/{row.table_name}")
-        part = loaded.agg(F.count("*").alias("loaded_rows")).select(
+        counted.append(loaded.agg(F.count("*").alias("loaded_rows")).select(
             F.lit(row.table_name).alias("table_name"),
             F.lit(int(set(json.loads(row.columns)) == set(schema.fieldNames()))).alias("columns_equal"),
             "loaded_rows",
-        )
-        counted = part if counted is None else counted.unionByName(part)
-    return entries.select("table_name", "row_cnt").join(counted, "table_name").withColumn(
+        ))
+    return entries.select("table_name", "row_cnt").join(stack(counted), "table_name").withColumn(
         "ok", F.when((F.col("columns_equal") == 1) & (F.col("row_cnt") == F.col("loaded_rows")), 1).otherwise(0)
     )
 

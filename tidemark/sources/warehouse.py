@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import between_days
 from ..schemas import LAYERS, TABLES, TableSpec
-from ..session import use_utc
+from ..session import prepare_session
 from . import files
 
 SNAPSHOTS = ("ads_user_rfm_snapshot",)
@@ -29,7 +29,7 @@ class Warehouse:
     """All tables below one root. Tables are Parquet folders; the catalog is optional."""
 
     def __init__(self, spark: SparkSession, root: str, prefix: str = ""):
-        self.spark = use_utc(spark)
+        self.spark = prepare_session(spark)
         self.root = root.rstrip("/")
         self.prefix = prefix
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bitmap, cleaning, daily, dims, reports, scd2
-from tidemark.session import scratch_path, use_utc
+from tidemark.session import scratch_path, prepare_session
 from tidemark.sources.clickstream import clickstream, skewed_sales
 from tidemark.sources.warehouse import Warehouse
 
@@ -27,7 +27,7 @@ class Tables:
     """DataFrames are built once per query, never cached or collected."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = use_utc(spark), sf_dir
+        self.spark, self.sf_dir = prepare_session(spark), sf_dir
 
     def parquet(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
