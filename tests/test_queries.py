@@ -9,9 +9,9 @@ import pytest
 
 import __spark_entry__ as entry
 from verification.compare import connect, differences, rows_of_spark, rows_of_sql
+from verification.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 SELECTION = """
     account_balance dedup_events ads_overview ads_retention ads_rfm_fact dws_traffic_hour scd2_rebuild scd2_merge scd2_asof
     dim_user_merge dim_session_append uv_set_check uv_bitmap_vs_distinct dqc_dwd dqc_ods_volume row_count_expectations
