@@ -37,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch, ship
+from .store import Scratch, batch, ship
 
-MIN_PAGES = 4        # pages of a host below which nothing is deduced
-MIN_SHARE = 0.5      # share of a host's pages on which a class must stand
-MAX_WORDING = 4096   # longest text that counts as one token by its words; longer ones by their hash
+MIN_PAGES = 8        # pages of a host below which nothing is deduced
+MIN_SHARE = 0.9      # share of a host's pages on which a class must stand
 
 # Elements of HTML and the words by which sites name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -116,151 +115,175 @@ def _clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-class Block:
-    """A run of text between block borders."""
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "little", signed=True)
 
-    __slots__ = ("parts", "place", "closed", "region")
 
-    def __init__(self, place: str, closed: bool, region: int):
-        self.parts, self.place, self.closed, self.region = [], place, closed, region
+class Open:
+    """An open element: whether it is closed to readers, its region (2 article, 1 main, 0 else) and its place in the page."""
 
+    __slots__ = ("name", "closed", "region", "places")
 
-def blocks(page: str) -> Iterator[tuple[str, bool, int, str]]:
-    """(place, closed, region, text) of each block with text: region 2 inside an article, 1 inside main, 0 elsewhere."""
-    stack: list[tuple[str, bool, int, str]] = [("", False, 0, "")]
-    now: list[str] = []
+    def __init__(self, name: str, closed: bool, region: int, places: tuple[int, ...]):
+        self.name, self.closed, self.region, self.places = name, closed, region, places
 
-    def flush():
-        text = _clean("".join(now))
-        now.clear()
-        return (stack[-1][3], stack[-1][1], stack[-1][2], text) if text else None
 
-    for kind, name, attributes in tokens(page):
-        if kind == "text":
-            now.append(name)
-            continue
-        # a tag that changes what is visible ends the block, whatever its kind
-        border = name in BLOCK or (kind == "open" and _is_closed(name, attributes)) or name in SILENT
-        if kind == "close" and not border:
-            border = any(n == name and c != stack[i - 1][1] for i, (n, c, _, _) in enumerate(stack) if i)
-        if border and (found := flush()):
-            yield found
-        if kind == "open":
-            if name in VOID:
-                continue
-            if name in _PARAGRAPH_ENDS or name == "li":
-                # an open p, or a list item before the next, ends here
-                ends = "li" if name == "li" else "p"
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in (("ul", "ol", "menu") if ends == "li" else _PARAGRAPH_ENDS | {"li", "td", "th", "body"}):
-                        break
-            _, closed, region, place = stack[-1]
-            mark = attributes.get("class", "")
-            region = max(region, 2 if name == "article" else 1 if name == "main" or attributes.get("role") == "main" else 0)
-            stack.append((name, closed or _is_closed(name, attributes), region, f"{place}/{name}{'.' + mark if mark else ''}"))
-        else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-    if found := flush():
-        yield found
+class Page:
+    """Walks a page once. ``blocks``: (element, text) in page order; ``tags``: the place of every tag."""
+
+    def __init__(self, page: str):
+        self.stack = [Open("", False, 0, (0,))]
+        self.depth: Counter = Counter()
+        self.blocks: list[tuple[Open, str]] = []
+        self.tags: list[int] = []
+        self.now: list[str] = []
+        for kind, name, attributes in tokens(page):
+            if kind == "text":
+                self.now.append(name)
+            elif kind == "open":
+                self._open(name, attributes)
+            else:
+                self._close(name)
+        self._flush()
+
+    def _flush(self) -> None:
+        if self.now:
+            text = _clean("".join(self.now))
+            self.now = []
+            if text:
+                self.blocks.append((self.stack[-1], text))
+
+    def _open(self, name: str, attributes: dict[str, str]) -> None:
+        closes = _is_closed(name, attributes)
+        if name in BLOCK or closes:
+            self._flush()
+        if name in VOID:
+            return
+        if name in _PARAGRAPH_ENDS:
+            self._end_implied("p", _PARAGRAPH_ENDS | {"li", "td", "th", "body"})
+        elif name == "li":
+            self._end_implied("li", {"ul", "ol", "menu"})
+        top = self.stack[-1]
+        region = max(top.region, 2 if name == "article" else 1 if name == "main" or attributes.get("role") == "main" else 0)
+        place = _digest(f"{top.places[-1]}/{name}.{attributes.get('class', '')}")
+        self.tags.append(place)
+        # the places around an element, the innermost ones of a deep page
+        self.stack.append(Open(name, top.closed or closes, region, (*top.places[-31:], place)))
+        self.depth[name] += 1
+
+    def _end_implied(self, name: str, within: frozenset[str] | set[str]) -> None:
+        if self.depth[name]:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].name == name:
+                    self._cut(i)
+                    return
+                if self.stack[i].name in within:
+                    return
+
+    def _cut(self, i: int) -> None:
+        for element in self.stack[i:]:
+            self.depth[element.name] -= 1
+        del self.stack[i:]
+
+    def _close(self, name: str) -> None:
+        if name in BLOCK or name in SILENT:
+            self._flush()
+        if not self.depth[name]:
+            return
+        i = next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].name == name)
+        if self.stack[i].closed != self.stack[i - 1].closed:
+            self._flush()
+        if name in BLOCK or not any(e.name in BLOCK for e in self.stack[i + 1 :]):
+            self._cut(i)
+        else:  # an inline element that ends inside a block begun later: the block goes on
+            self.depth[name] -= 1
+            del self.stack[i]
 
 
 def page_tokens(page: str) -> Counter:
-    """Tokens of a page with their number: "t" + place of a tag, "w" + a text at its place."""
-    out: Counter = Counter()
-    path: list[str] = []
-    for kind, name, attributes in tokens(page):
-        if kind == "open" and name not in VOID:
-            mark = attributes.get("class", "")
-            path.append(f"{name}.{mark}" if mark else name)
-            out["t" + "/".join(path[-6:])] += 1
-        elif kind == "close":
-            for i in range(len(path) - 1, -1, -1):
-                if path[i].split(".")[0] == name:
-                    del path[i:]
-                    break
-    for place, _, _, text in blocks(page):
-        out[wording(place, text)] += 1
+    """Tokens of a page with their number: ("t", place) of a tag, ("w", place and text) of a block."""
+    walked = Page(page)
+    out: Counter = Counter(("t", place) for place in walked.tags)
+    out.update(("w", wording(element, text)) for element, text in walked.blocks)
     return out
 
 
-def wording(place: str, text: str) -> str:
-    return f"w{place}\0{text if len(text) <= MAX_WORDING else hashlib.sha256(text.encode()).hexdigest()}"
+def wording(element: Open, text: str) -> int:
+    return _digest(f"{element.places[-1]}\0{text}")
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+_COUNTED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("kind", pa.string()), ("token", pa.int64()), ("n", pa.int64())])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, token, kind, n): the token by its hash; its text goes no further than this task."""
+    """(host, page, kind, token, n): tokens by their hashes; their texts go no further than this task."""
     for rows in batches:
-        host, page, token, kind, count = [], [], [], [], []
-        for h, p, text in zip(*(rows.column(i).to_pylist() for i in range(3))):
-            for name, n in page_tokens(text or "").items():
-                host.append(h)
-                page.append(p)
-                token.append(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True))
-                kind.append(name[0])
-                count.append(n)
-            if len(host) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.int64()),
-                                                  pa.array(kind, pa.string()), pa.array(count, pa.int64())], names=["host", "page", "token", "kind", "n"])
-                host, page, token, kind, count = [], [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.int64()),
-                                          pa.array(kind, pa.string()), pa.array(count, pa.int64())], names=["host", "page", "token", "kind", "n"])
+        out = []
+        for host, page, text in zip(*(rows.column(i).to_pylist() for i in range(3))):
+            out += [(host, page, kind, token, n) for (kind, token), n in page_tokens(text or "").items()]
+            if len(out) > 50_000:
+                yield batch(_COUNTED, *zip(*out))
+                out = []
+        if out:
+            yield batch(_COUNTED, *zip(*out))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, frame, wording): hashes of the tag tokens and texts of valid classes of each host with enough pages.
+    """(host, frame, wording): tags and texts of the valid classes of each host with enough pages.
 
-    A host's lists stay short: a token in them stands on ``MIN_SHARE`` of its pages, so there are no more
-    of them than an average page has, divided by that share.
+    A class is valid if it stands on ``MIN_SHARE`` of the pages, so a host has no more of its tokens than
+    an average page has, divided by that share: the lists of a host stay short. ``frame`` holds the tags that
+    stand exactly once on each of their pages, the only ones that can hold a nested class as a whole.
     """
     per_host = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
-    counted = pages.select("host", "page", "html").mapInArrow(_counted, "host string, page long, token long, kind string, n long")
-    vectors = counted.groupBy("host", "token", "kind").agg(
-        F.count("*").alias("on"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"))
-    common = vectors.join(per_host, "host").filter(F.col("on") >= F.col("pages") * MIN_SHARE)
-    valid = (
-        common.groupBy("host", "vector").agg(F.count("*").alias("size"), F.collect_list(F.struct("kind", "token")).alias("tokens"))
-        # one token alone is a class only where it stands on all pages alike
-        .select("host", F.explode("tokens").alias("t"))
-    )
-    of_kind = lambda kind: F.array_sort(F.collect_set(F.when(F.col("t.kind") == kind, F.col("t.token"))))
-    return valid.groupBy("host").agg(of_kind("t").alias("frame"), of_kind("w").alias("wording"))
+    counted = pages.select("host", "page", "html").mapInArrow(_counted, "host string, page long, kind string, token long, n long")
+    vectors = counted.groupBy("host", "kind", "token").agg(
+        F.count("*").alias("on"), F.max("n").alias("most"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"))
+    classes = vectors.groupBy("host", "vector").agg(
+        F.max("on").alias("on"), F.max("most").alias("most"),
+        F.collect_list(F.when(F.col("kind") == "t", F.col("token"))).alias("tags"),
+        F.collect_list(F.when(F.col("kind") == "w", F.col("token"))).alias("texts"))
+    valid = classes.join(per_host, "host").filter(F.col("on") >= F.col("pages") * MIN_SHARE)
+    return valid.groupBy("host").agg(
+        F.flatten(F.collect_list(F.when(F.col("most") == 1, F.col("tags")))).alias("frame"), F.flatten(F.collect_list("texts")).alias("wording"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[object, frozenset] = (None, frozenset())
     for rows in batches:
-        texts = []
-        lists = rows.column(3)
-        for i, text in enumerate(rows.column(2).to_pylist()):
-            known = frozenset(lists[i].as_py() or ())
-            texts.append(main_text(text or "", known))
-        del last
-        last = (None, frozenset())
+        frames, wordings = (rows.column(i).to_pylist() for i in (3, 4))
+        texts = [main_text(text or "", frozenset(f or ()), frozenset(w or ()))
+                 for text, f, w in zip(rows.column(2).to_pylist(), frames, wordings)]
         yield pa.RecordBatch.from_arrays(
             [rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"])
 
 
-def main_text(page: str, template: frozenset[int]) -> str:
-    """Blocks of the best region in page order that are neither closed nor wording of the template."""
-    open_ = [(region, place, text) for place, closed, region, text in blocks(page) if not closed]
-    best = max((r for r, _, _ in open_), default=0)
+def main_text(page: str, frame: frozenset[int] = frozenset(), wordings: frozenset[int] = frozenset()) -> str:
+    """The slots of the page's main region: blocks that are neither closed nor wording of the template, in page order.
 
-    def is_wording(place: str, text: str) -> bool:
-        name = wording(place, text)
-        return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True) in template
-
-    return "\n".join(text for r, place, text in open_ if r == best and not (template and is_wording(place, text)))
+    Without ``article`` or ``main`` the region is the innermost element of the frame that holds
+    most of what is left.
+    """
+    left = [(element, text) for element, text in Page(page).blocks
+            if not element.closed and not (wordings and wording(element, text) in wordings)]
+    best = max((element.region for element, _ in left), default=0)
+    left = [(element, text) for element, text in left if element.region == best]
+    if best == 0 and frame:
+        size: Counter = Counter()
+        for element, text in left:
+            for place in element.places:
+                if place in frame:
+                    size[place] += len(text)
+        total = sum(len(text) for _, text in left)
+        holders = [place for place, n in size.items() if 2 * n > total]
+        if holders:
+            inner = max(holders, key=lambda place: max(e.places.index(place) for e, _ in left if place in e.places))
+            left = [(element, text) for element, text in left if inner in element.places]
+    return "\n".join(text for _, text in left)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -272,6 +295,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("host", host_of(F.col("url")))
     found = scratch.keep(templates(rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")), "templates")
     return (
-        rows.join(found.select("host", "wording"), "host", "left").select("page_id", "url", "html", "wording")
+        rows.join(found, "host", "left").select("page_id", "url", "html", "frame", "wording")
         .mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
     )

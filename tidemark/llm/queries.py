@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, bpe, decontam, jaccard, pages, quality, repeats, secrets, vafile
+from . import ans, bpe, decontam, jaccard, pages, quality, repeats, secrets, urlfilter, vafile
 from ..session import scratch_path
 
 
@@ -41,6 +41,39 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def _fetched() -> Column:
+    """The tables hold no fetch time: a day of 2024 by the page's id."""
+    return F.expr("date_add(DATE '2024-01-01', CAST(page_id % 366 AS INT))")
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries of three lists, derived from the hosts and folders of the pages; days and choices by md5."""
+    address = pages.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path")).filter("host != ''")
+    digit = lambda name, at: F.conv(F.substring(F.md5(name), at, 1), 16, 10).cast("int")
+    day = lambda name, at: F.expr("DATE '2024-01-01'") + F.make_interval(days=digit(name, at) * 16 + digit(name, at + 1))
+
+    def entry(keys: DataFrame, label: str, kind: str, verdict: str, upto: int) -> DataFrame:
+        chosen = keys.distinct().filter(digit(F.col("pattern"), 1) < upto)
+        return chosen.select(F.lit(label).alias("list"), F.lit(kind).alias("kind"), "pattern", F.lit(verdict).alias("verdict"), F.inline(F.array(
+            F.struct(F.lit("add").alias("action"), day(F.col("pattern"), 2).cast("date").alias("dated")),
+            F.struct(F.lit("remove").alias("action"), day(F.col("pattern"), 4).cast("date").alias("dated")),
+            F.struct(F.lit("add").alias("action"), day(F.col("pattern"), 6).cast("date").alias("dated")))))
+
+    folder = F.lower(F.concat("host", F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2)), F.lit("/")))
+    deep = address.filter("path LIKE '/%/%'")
+    return (
+        entry(address.select(F.col("host").alias("pattern")), "hosts", "domain", "block", 8)
+        .unionAll(entry(address.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("pattern")).filter("pattern != ''"), "domains", "domain", "block", 12))
+        .unionAll(entry(deep.select(folder.alias("pattern")), "folders", "prefix", "allow", 8))
+    )
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "pages").select("page_id", "url")
+    entries = list_entries(table)
+    return urlfilter.judge(table.withColumn("fetched", _fetched()), entries)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents")).drop("ids")
 
@@ -55,6 +88,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_vector_file, op2_quality, op3_ans, op4_secrets, op5_jaccard, op6_decontamination, op8_bpe, op9_pages, op10_repeats)
+    for f in (op1_vector_file, op2_quality, op3_ans, op4_secrets, op5_jaccard, op6_decontamination, op7_url_lists, op8_bpe, op9_pages, op10_repeats)
 }
-ORACLES: dict[str, str] = {}
+
+from .oracles import ORACLES  # noqa: E402,F401

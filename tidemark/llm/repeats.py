@@ -118,22 +118,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _emit(doc, row, at, windows, digit, whole, covered) -> Iterator[pa.RecordBatch]:
     """Rows of a batch; covered ones are merged per text and dealt by their place, with ``whole`` = 0."""
-    open_ = ~covered
-    c = np.flatnonzero(covered)
+    open_, c = np.flatnonzero(~covered), np.flatnonzero(covered)
+    for i in range(0, len(open_), _OUT_ROWS):
+        s = open_[i : i + _OUT_ROWS]
+        yield batch(_RUN, doc[s], row[s], at[s], windows[s].astype(np.int32), _signed(digit[s]), _signed(whole[s]))
     if len(c):
         new = np.ones(len(c), bool)
-        new[1:] = (row[c][1:] != row[c][:-1]) | (doc[c][1:] != doc[c][:-1]) | (at[c][1:] != (at + windows)[c][:-1])
+        new[1:] = (row[c][1:] != row[c][:-1]) | (doc[c][1:] != doc[c][:-1]) | (at[c][1:] != (at[c] + windows[c])[:-1])
         head = np.flatnonzero(new)
-        long = np.add.reduceat(windows[c], head)
-        place = mix(row[c][head].astype(np.uint64) + at[c][head].astype(np.uint64))
-        c = c[head]
-        doc, row, at = (np.concatenate([x[open_], x[c]]) for x in (doc, row, at))
-        windows = np.concatenate([windows[open_], long])
-        digit = np.concatenate([digit[open_], place])
-        whole = np.concatenate([whole[open_], np.zeros(len(c), np.uint64)])
-    for i in range(0, len(doc), _OUT_ROWS):
-        s = slice(i, i + _OUT_ROWS)
-        yield batch(_RUN, doc[s], row[s], at[s], windows[s].astype(np.int32), _signed(digit[s]), _signed(whole[s]))
+        long, c = np.add.reduceat(windows[c], head), c[head]
+        place = mix(row[c].astype(np.uint64) + at[c].astype(np.uint64))
+        for i in range(0, len(c), _OUT_ROWS):
+            s = slice(i, i + _OUT_ROWS)
+            yield batch(_RUN, doc[c[s]], row[c[s]], at[c[s]], long[s].astype(np.int32), _signed(place[s]), np.zeros(len(c[s]), np.int64))
 
 
 def _known(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -148,6 +145,7 @@ def _all_runs(width: int):
             if not found:
                 continue
             text, at, windows, digit, whole = (np.concatenate(x) for x in zip(*found))
+            del found
             doc, row = (rows.column(i).to_numpy()[text] for i in (0, 1))
             whole |= np.uint64(1)  # 0 marks what is settled
             covered = _earlier_in_batch(mix(digit + whole), doc)
@@ -221,12 +219,12 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("row", F.xxhash64("text"))  # tells texts apart that share an id
 
+    alike, group = Window.partitionBy("digit", "whole"), Window.partitionBy("digit")
+
     def settled(rows: DataFrame) -> DataFrame:
-        """Adds the smallest document per group of equal strings (both digits) and per group of the first digit."""
-        dealt = rows.repartition("digit")
-        alike, group = Window.partitionBy("digit", "whole"), Window.partitionBy("digit")
+        """Adds the smallest document per group of equal strings (both digits), and what its group of the first digit holds."""
         return (
-            dealt.withColumn("first", F.min("doc_id").over(alike))
+            rows.repartition("digit").withColumn("first", F.min("doc_id").over(alike))
             .withColumn("low", F.min("doc_id").over(group)).withColumn("high", F.max("doc_id").over(group))
             .withColumn("kinds", F.when(F.max("whole").over(group) > F.min("whole").over(group), 2).otherwise(1))
         )
@@ -239,9 +237,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     # runs that are the first of their kind in a group that spans documents: their windows one by one
     todo = found.filter("NOT covered").groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "windows", "digit")).alias("runs"))
-    single = settled(
+    single = (
         docs.join(todo, ["doc_id", "row"]).select("doc_id", "row", "text", "runs")
-        .mapInArrow(_windows_of_runs(width), _RUN_SQL)
+        .mapInArrow(_windows_of_runs(width), _RUN_SQL).withColumn("first", F.min("doc_id").over(alike))
     )
     scratch.keep(found.filter("covered").select("doc_id", "row", "at", "windows"), "covered_runs")
     spans = scratch.keep(single.filter(covered).select("doc_id", "row", "at", "windows"), "covered_windows")
