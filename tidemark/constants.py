@@ -82,5 +82,4 @@ MONEY_TOLERANCE = 0.01
 
 # --- skewed aggregation -----------------------------------------------------
 SALT_BUCKETS = 64
-HOT_KEY_ROWS = 500_000
 HOT_KEY_SAMPLE = 0.02

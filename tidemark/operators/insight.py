@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import between_days, cnt_if, flag, is_type, ratio_or_null, sum_if, unusable_number
-from .skew import hot_keys, join_split_hot
 
 
 def _bought() -> Column:
@@ -155,26 +154,28 @@ def rf_matrix(scored: DataFrame) -> DataFrame:
     ).withColumn("user_share", F.round(F.col("users") / F.sum("users").over(whole), 4))
 
 
-def funnel_steps(fact: DataFrame, hours: int = 24, hot_rows: int = K.HOT_KEY_ROWS) -> DataFrame:
+def funnel_steps(fact: DataFrame, hours: int = 24) -> DataFrame:
     """Per user and product with a view: first view, first cart after it, first purchase after that cart.
 
-    Cart and purchase must lie within ``hours`` of the first view. Each step is a
-    join of the few events of its type with one row per pair, reduced to one row
-    per pair again, so all steps share one partitioning. A pair with more than
-    ``hot_rows`` carts and purchases, and at least 1% of them all, is spread over
-    tasks; its minimum is taken per task first.
+    Cart and purchase must lie within ``hours`` of the first view. Each step joins the
+    events of its type with one row per pair and quarter of the time limit (five at
+    most), so the events of a pair are spread over time, those outside the limit meet
+    nothing, and no pair is treated differently for its size.
     """
     pair = ["user_id", "product_id"]
-    later = fact.filter(F.col("event_type").isin(K.CART, K.PURCHASE))
-    hot = hot_keys(later, pair, rows=hot_rows).collect()  # at most 100 pairs
+    quarter = max(1, int(hours) * 900)  # seconds
     first_view = fact.filter(is_type(K.VIEW)).groupBy(*pair).agg(F.min("event_time").alias("view_time"))
     limit = F.col("view_time") + F.expr(f"INTERVAL {int(hours)} HOURS")
 
+    def part(t: Column) -> Column:
+        return F.floor(F.unix_seconds(t) / quarter)
+
     def step(reached: DataFrame, event_type: str, after: str, name: str) -> DataFrame:
-        events = fact.filter(is_type(event_type)).select(*pair, F.col("event_time").alias("t"))
-        met = join_split_hot(events, reached, pair, hot)
-        hit = met.filter((F.col("t") >= F.col(after)) & (F.col("t") <= limit))
-        return hit.groupBy(*pair).agg(F.min("view_time").alias("view_time"), F.min("t").alias(name))
+        events = fact.filter(is_type(event_type)).select(*pair, F.col("event_time").alias("t"), part(F.col("event_time")).alias("_part"))
+        open_ = reached.withColumn("_part", F.explode(F.sequence(part(F.col(after)), part(limit))))
+        hit = events.join(open_, [*pair, "_part"]).filter((F.col("t") >= F.col(after)) & (F.col("t") <= limit))
+        firsts = [F.min("view_time").alias("view_time"), F.min("t").alias("t")]
+        return hit.groupBy(*pair, "_part").agg(*firsts).groupBy(*pair).agg(*firsts).withColumnRenamed("t", name)
 
     carted = step(first_view, K.CART, "view_time", "cart_time")
     bought = step(carted, K.PURCHASE, "cart_time", "purchase_time").drop("view_time")

@@ -29,9 +29,9 @@ def _two_steps(salted: DataFrame, key: str) -> DataFrame:
     return first.groupBy(key).agg(*(F.sum(m).alias(m) for m in _MEASURES))
 
 
-def _salt(df: DataFrame, buckets: int) -> Column:
-    """A salt from the row itself: a task that runs again gives every row the same salt."""
-    return F.pmod(F.xxhash64(*df.columns), F.lit(buckets)).cast("int")
+def _salt(buckets: int) -> Column:
+    """A salt from the task that reads the row: no column is read for it, and a key leaves a task as one row."""
+    return F.pmod(F.spark_partition_id(), F.lit(buckets))
 
 
 def agg_naive(df: DataFrame, key: str = "product_id") -> DataFrame:
@@ -40,7 +40,7 @@ def agg_naive(df: DataFrame, key: str = "product_id") -> DataFrame:
 
 def agg_salted(df: DataFrame, key: str = "product_id", buckets: int = K.SALT_BUCKETS) -> DataFrame:
     """Every key in ``buckets`` parts."""
-    return _two_steps(df.withColumn("_salt", _salt(df, buckets)), key)
+    return _two_steps(df.withColumn("_salt", _salt(buckets)), key)
 
 
 def hot_keys(
@@ -53,47 +53,23 @@ def hot_keys(
     """
     keys = [key] if isinstance(key, str) else list(key)
     counts = df.select(*keys).sample(fraction=fraction, seed=seed).groupBy(*keys).agg(F.count("*").alias("sample_rows"))
-    total = counts.agg(F.sum("sample_rows").alias("n")).scalar()
+    # both branches end in the same aggregation, keys included, so its exchange is reused and the input read once
+    total = counts.agg(F.sum("sample_rows").alias("n"), F.max(F.struct(*keys)).alias("_k")).select("n").scalar()
     heavy = F.col("sample_rows") >= F.ceil(total * min_share)
     if rows is not None:
         heavy = heavy & (F.col("sample_rows") > rows * fraction)
     return counts.filter(heavy)
 
 
-def join_split_hot(
-    large: DataFrame, small: DataFrame, keys: list[str], hot: list, buckets: int = K.SALT_BUCKETS
-) -> DataFrame:
-    """Inner join in which the rows of the heavy keys of ``large`` are spread over ``buckets`` tasks.
-
-    The matching rows of ``small`` are repeated per bucket, for those keys only.
-    ``hot`` is the collected answer of :func:`hot_keys`, at most 1 / min_share rows:
-    both sides must see the same keys, so they are fixed before the join. Which
-    keys they are changes where rows are joined, not the result; without any, it
-    is a plain join.
-    """
-    if not hot:
-        return large.join(small, keys)
-    known = large.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], large.select(*keys).schema)
-    heavy = F.broadcast(known.withColumn("_hot", F.lit(True)))
-    spread = large.join(heavy, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), _salt(large, buckets)).otherwise(F.lit(0))
-    ).drop("_hot")
-    all_salts = F.array(*(F.lit(i) for i in range(buckets)))
-    repeated = small.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
-
-
 def agg_salted_hot(
     df: DataFrame, hot: DataFrame, key: str = "product_id", buckets: int = K.SALT_BUCKETS
 ) -> DataFrame:
     """Only the keys of ``hot`` are salted. The result does not depend on which keys those are.
 
-    ``hot`` comes from :func:`hot_keys`, whose size is bounded by the share, so it is broadcast.
+    Whether ``hot`` is broadcast is left to its size at run time.
     """
-    marked = df.join(F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot")).distinct()), key, "left")
-    salt = F.when(F.col("_hot"), _salt(df, buckets)).otherwise(F.lit(0))
+    marked = df.join(hot.select(F.col(key), F.lit(True).alias("_hot")).distinct(), key, "left")
+    salt = F.when(F.col("_hot"), _salt(buckets)).otherwise(F.lit(0))
     return _two_steps(marked.withColumn("_salt", salt), key)
 
 

@@ -6,9 +6,10 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import TABLES
-from ..session import prepare_session, stack
+from ..session import stack
 from .warehouse import Warehouse
 
 # The CSV dialect of the receiving side
@@ -28,6 +29,8 @@ REPORTS = (
     "ads_user_rfm_snapshot", "dim_category",
 )
 EXPORTABLE = tuple(n for n, s in TABLES.items() if all(t != "binary" for _, t, _ in s.columns))
+_REJECTED = "_rejected_line"
+_READ_OPTIONS = {k: v for k, v in CSV_OPTIONS.items() if k not in ("emptyValue",)}
 _MANIFEST = "db string, table_name string, partition_col string, columns string, row_cnt bigint"
 
 
@@ -49,22 +52,38 @@ def export_csv(wh: Warehouse, out: str, names=EXPORTABLE) -> DataFrame:
     return manifest
 
 
+def _digest(df: DataFrame, schema: StructType):
+    """One number for the values of all rows, whatever their order. Times count to the second, as they are written."""
+    def text(f):
+        value = F.date_format(f.name, "yyyy-MM-dd HH:mm:ss") if f.dataType.typeName() == "timestamp" else F.col(f.name).cast("string")
+        return F.coalesce(value, F.lit(""))
+
+    return F.coalesce(F.sum(F.xxhash64(*map(text, schema.fields)).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+
 def verify_export(wh: Warehouse, out: str) -> DataFrame:
-    """Manifest against the files: same columns, same number of rows."""
-    prepare_session(wh.spark)
+    """The files against table and manifest: columns, rows, values.
+
+    ``rejected_rows`` are lines that do not have the table's columns: too few or too many fields, or a
+    value that is none of the column's type. Columns are equal if the manifest names them in order and no line is rejected.
+    """
     entries = wh.spark.read.schema(_MANIFEST).json(f"{out}/manifest")
-    counted = []
+    checked = []
     for row in entries.collect():  # one row per table
         schema = wh.spec(row.table_name).schema
-        loaded = wh.spark.read.schema(schema).options(**CSV_OPTIONS).csv(f"{out}/{row.table_name}")
-        counted.append(loaded.agg(F.count("*").alias("loaded_rows")).select(
-            F.lit(row.table_name).alias("table_name"),
-            F.lit(int(set(json.loads(row.columns)) == set(schema.fieldNames()))).alias("columns_equal"),
-            "loaded_rows",
+        loaded = wh.spark.read.schema(StructType([*schema.fields, StructField(_REJECTED, StringType())])).csv(
+            f"{out}/{row.table_name}", mode="PERMISSIVE", columnNameOfCorruptRecord=_REJECTED, **_READ_OPTIONS)
+        named = int(json.loads(row.columns) == schema.fieldNames())
+        found = loaded.agg(
+            F.count("*").alias("loaded_rows"), F.count(_REJECTED).alias("rejected_rows"), _digest(loaded, schema).alias("digest"))
+        table = wh.read(row.table_name)
+        checked.append(found.select(
+            F.lit(row.table_name).alias("table_name"), "loaded_rows", "rejected_rows",
+            F.when((F.lit(named) == 1) & (F.col("rejected_rows") == 0), 1).otherwise(0).alias("columns_equal"),
+            F.when(F.col("digest") == table.agg(_digest(table, schema).alias("d")).scalar(), 1).otherwise(0).alias("values_equal"),
         ))
-    return entries.select("table_name", "row_cnt").join(stack(counted), "table_name").withColumn(
-        "ok", F.when((F.col("columns_equal") == 1) & (F.col("row_cnt") == F.col("loaded_rows")), 1).otherwise(0)
-    )
+    good = (F.col("columns_equal") == 1) & (F.col("values_equal") == 1) & (F.col("row_cnt") == F.col("loaded_rows"))
+    return entries.select("table_name", "row_cnt").join(stack(checked), "table_name").withColumn("ok", F.when(good, 1).otherwise(0))
 
 
 def export_reports(wh: Warehouse, out: str, names=REPORTS) -> list[str]:

@@ -287,11 +287,22 @@ def _(t):
 @case("overview_reconcile", "SELECT " + ", ".join(
     f"{big(f'SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)')} AS {n}_bad" for n, c in (
         ("uv", "uv"), ("pv", "pv"), ("session", "session_cnt"), ("gmv", "gmv"), ("order", "order_cnt"),
-        ("buyer", "buyer_cnt"), ("view", "view_uv"), ("cart", "cart_uv"), ("purchase", "purchase_uv"))) + " FROM ov")
+        ("buyer", "buyer_cnt"), ("view", "view_uv"), ("cart", "cart_uv"), ("purchase", "purchase_uv"))) + f", {cnt('uv IS NULL')} AS days_missing_in_references, {cnt('event_date IS NULL')} AS days_missing_in_overview FROM ov")
 def _(t):
     return reconcile.overview_reconcile(t.overview, t.uv_daily, t.th, t.us, t.ub, t.fact)
 
 
+@case("overview_reconcile_damaged", f"""
+    WITH d AS (SELECT *, event_date = DATE '{DAY}' AS lost, event_date = DATE '{NEXT_DAY}' AS changed FROM ov)
+    SELECT {cnt('FALSE')} AS uv_bad, {cnt('lost')} AS pv_bad, {cnt('FALSE')} AS session_bad, {cnt('changed')} AS gmv_bad,
+           {cnt('FALSE')} AS order_bad, {cnt('FALSE')} AS buyer_bad, {cnt('FALSE')} AS view_bad, {cnt('FALSE')} AS cart_bad,
+           {cnt('FALSE')} AS purchase_bad, {cnt('lost')} AS days_missing_in_references, {cnt('FALSE')} AS days_missing_in_overview FROM d""")
+def _(t):
+    hours = t.th.filter(F.col("event_date") != F.lit(DAY).cast("date"))
+    users = t.ub.withColumn("purchase_amount", F.col("purchase_amount") + F.when(F.col("event_date") == F.lit(NEXT_DAY).cast("date"), 1.0).otherwise(0.0))
+    return reconcile.overview_reconcile(t.overview, t.uv_daily, hours, t.us, users, t.fact)
+
+
 @case("overview_invariants", f"""
     SELECT {cnt('NOT (view_uv >= cart_uv AND cart_uv >= purchase_uv)')} AS funnel_order_bad,
            {cnt('uv < view_uv')} AS uv_lt_view_bad, {cnt('new_user_cnt + old_user_cnt <> uv')} AS newold_sum_bad,
@@ -317,7 +328,9 @@ def _(t):
            {cnt('o.order_cnt <> t.order_cnt')} AS order_bad, {cnt('o.buyer_cnt <> t.buyer_cnt')} AS buyer_bad,
            {cnt('o.view_uv <> f.view_uv')} AS view_bad, {cnt('o.cart_uv <> f.cart_uv')} AS cart_bad,
            {cnt('o.purchase_uv <> f.purchase_uv')} AS purchase_bad,
-           {cnt('o.session_cnt <> s.session_cnt')} AS session_bad
+           {cnt('o.session_cnt <> s.session_cnt')} AS session_bad,
+           {cnt('t.event_date IS NULL OR f.event_date IS NULL OR s.event_date IS NULL')} AS days_missing_in_references,
+           {cnt('o.event_date IS NULL')} AS days_missing_in_overview
     FROM ov o JOIN trade t USING (event_date) JOIN funnel f USING (event_date) JOIN sess s USING (event_date)""")
 def _(t):
     return reconcile.overview_cross_check(t.overview, t.trade, t.funnel, t.session_report)

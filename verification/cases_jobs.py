@@ -161,54 +161,71 @@ def _(t):
 
 # --- exports ----------------------------------------------------------------------
 
-_EXPORTED = (jobs.USER, jobs.SESSION, "dim_user", "dim_session")
-
-
-def _exported(t: Tables, label: str):
-    wh = t.warehouse(label)
-    wh.write_partitions(jobs.USER, t.ub)
-    wh.write_partitions(jobs.SESSION, t.us)
-    wh.overwrite("dim_user", t.user_dim)
-    wh.overwrite("dim_session", dims.session_dim(t.fact))
+def _exported(t: Tables):
+    """Every exportable table that a range build fills."""
+    wh = _built(t)
     out = scratch_path(t.spark, "export")
-    return wh, out, export.export_csv(wh, out, _EXPORTED)
+    return wh, out, export.export_csv(wh, out, [n for n in export.EXPORTABLE if n in _BUILT_TABLES])
 
 
-_EXPORT_ROWS = f"""
-    SELECT 'dws_user_behavior_daily' AS table_name, COUNT(*) AS row_cnt FROM ub
-    UNION ALL SELECT 'dws_user_session_daily', COUNT(*) FROM us
-    UNION ALL SELECT 'dim_user', COUNT(*) FROM du UNION ALL SELECT 'dim_session', COUNT(*) FROM ds"""
+_BUILT_TABLES = {
+    "ods_event_log": "src", "dwd_event_fact": "fact", "dwd_event_dirty": "dirty", "dim_product_scd2": "scd",
+    "dim_user": "du", "dim_category": "dc", "dim_session": "ds", "dws_user_session_daily": "us",
+    "dws_product_daily": "pd", "dws_user_behavior_daily": "ub", "dws_traffic_hour_daily": "th",
+    "ads_trade_daily": "trade", "ads_conversion_funnel_daily": "funnel", "ads_product_hot_rank_daily": "hot",
+    "ads_session_behavior_daily": "sess", "ads_traffic_hour_daily": "hour", "ads_user_retention_daily": "ret",
+    "ads_user_rfm_snapshot": "rfm", "ads_ec_daily_overview": "ov",
+}
+_EXPORT_ROWS = " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, COUNT(*) AS row_cnt FROM {c}" for n, c in _BUILT_TABLES.items() if n in export.EXPORTABLE)
 
 
 @case("export_csv_manifest", f"""
-    SELECT *, CASE table_name WHEN 'dws_user_behavior_daily' THEN 'event_date' WHEN 'dws_user_session_daily'
-                   THEN 'event_date' END AS partition_col FROM ({_EXPORT_ROWS})""")
+    SELECT *, CASE WHEN table_name = 'ads_user_rfm_snapshot' THEN 'as_of_dt' WHEN table_name NOT LIKE 'dim%' THEN 'event_date' END
+        AS partition_col FROM ({_EXPORT_ROWS})""")
 def _(t):
-    return _exported(t, "manifest")[2].select("table_name", "row_cnt", "partition_col")
+    return _exported(t)[2].select("table_name", "row_cnt", "partition_col")
 
 
-@case("export_reconcile", f"SELECT *, 1 AS columns_equal, row_cnt AS loaded_rows, 1 AS ok FROM ({_EXPORT_ROWS})")
+@case("export_reconcile", f"""
+    SELECT *, 1 AS columns_equal, 1 AS values_equal, row_cnt AS loaded_rows, CAST(0 AS BIGINT) AS rejected_rows, 1 AS ok
+    FROM ({_EXPORT_ROWS})""")
 def _(t):
-    wh, out, _manifest = _exported(t, "reconcile")
+    wh, out, _manifest = _exported(t)
     return export.verify_export(wh, out)
 
 
-@case("export_reports", """
-    SELECT 'ads_trade_daily' AS report, COUNT(*) AS row_cnt FROM trade
-    UNION ALL SELECT 'ads_user_rfm_snapshot', COUNT(*) FROM rfm
-    UNION ALL SELECT 'dim_category', COUNT(*) FROM dc""")
+@case("export_lost_column", f"""
+    SELECT 'ads_trade_daily' AS table_name, COUNT(*) AS row_cnt, COUNT(*) AS loaded_rows, COUNT(*) AS rejected_rows,
+           0 AS columns_equal, 0 AS values_equal, 0 AS ok FROM trade""")
+def _(t):
+    wh = _built(t)
+    out = scratch_path(t.spark, "export")
+    export.export_csv(wh, out, [jobs.TRADE])
+    short = wh.read(jobs.TRADE).select(*wh.spec(jobs.TRADE).column_names[:-1])
+    short.write.mode("overwrite").options(**export.CSV_OPTIONS).csv(f"{out}/{jobs.TRADE}")
+    return export.verify_export(wh, out)
+
+
+_REPORT_CTES = {"ads_trade_daily": "trade", "ads_conversion_funnel_daily": "funnel", "ads_product_hot_rank_daily": "hot",
+                "ads_session_behavior_daily": "sess", "ads_user_rfm_snapshot": "rfm", "dim_category": "dc"}
+
+
+@case("export_reports", " UNION ALL ".join(
+    f"SELECT '{n}' AS report, COUNT(*) AS row_cnt FROM {c}" for n, c in _REPORT_CTES.items()))
 def _(t):
     wh = t.warehouse("reports")
-    wh.write_partitions(jobs.TRADE, t.trade)
+    for name, df in (("ads_trade_daily", t.trade), ("ads_conversion_funnel_daily", t.funnel), ("ads_product_hot_rank_daily", t.hot),
+                     ("ads_session_behavior_daily", t.session_report)):
+        wh.write_partitions(name, df)
     # an older snapshot beside the newest one: only the newest is exported
     wh.write_partitions(jobs.RFM, reports.rfm(t.fact, START, FIRST_HALF[1], RECENCY).unionByName(t.rfm))
     wh.overwrite("dim_category", dims.category_dim(t.fact))
-    names = (jobs.TRADE, jobs.RFM, "dim_category")
     out = scratch_path(t.spark, "report-files")
-    paths = export.export_reports(wh, out, names)
+    paths = export.export_reports(wh, out)
     parts = [
         t.spark.read.csv(path, header=True).agg(F.count("*").alias("row_cnt")).select(F.lit(n).alias("report"), "row_cnt")
-        for n, path in zip(names, paths)
+        for n, path in zip(export.REPORTS, paths)
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -248,16 +265,6 @@ def _row_counts(wh, names) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-_BUILT_TABLES = {
-    "ods_event_log": "src", "dwd_event_fact": "fact", "dwd_event_dirty": "dirty", "dim_product_scd2": "scd",
-    "dim_user": "du", "dim_category": "dc", "dim_session": "ds", "dws_user_session_daily": "us",
-    "dws_product_daily": "pd", "dws_user_behavior_daily": "ub", "dws_traffic_hour_daily": "th",
-    "ads_trade_daily": "trade", "ads_conversion_funnel_daily": "funnel", "ads_product_hot_rank_daily": "hot",
-    "ads_session_behavior_daily": "sess", "ads_traffic_hour_daily": "hour", "ads_user_retention_daily": "ret",
-    "ads_user_rfm_snapshot": "rfm", "ads_ec_daily_overview": "ov",
-}
-
-
 @case("build_range", " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, COUNT(*) AS row_cnt FROM {cte}" for name, cte in _BUILT_TABLES.items()))
 def _(t):
