@@ -22,10 +22,12 @@ class QualityBlock(RuntimeError):
 
 
 def raise_on_block(gate: DataFrame) -> None:
-    """Raise with the blocking rows, at most 20 of them in the message."""
-    rows = gate.filter(F.col("status") == BLOCK).orderBy("event_date", "seq").limit(20).collect()
+    """Raise with the number of blocking rows and the first 20 of them."""
+    blocks = gate.filter(F.col("status") == BLOCK)
+    rows = blocks.orderBy("event_date", "seq").limit(20).collect()
     if rows:
-        raise QualityBlock("; ".join(f"{r.event_date} {r.code} ({r.detail})" for r in rows))
+        listed = "; ".join(f"{r.event_date} {r.code} ({r.detail})" for r in rows)
+        raise QualityBlock(listed if len(rows) < 20 else f"{blocks.count()} blocking rows, the first: {listed}")
 
 
 def passing_days(gate: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ whatever the number of days.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,11 +143,17 @@ class _Run:
         return self.put(HOUR_REPORT, reports.traffic_hour_report(self.days(HOUR)))
 
     def ads_user_retention(self):
-        report = reports.retention_daily(self.wh.read(USER), self.data_start, self.end)
-        return self.wh.write_partitions(RETENTION, report)
+        """One more day changes that day and the days it is an offset away from; all they need lies between them."""
+        last = date.fromisoformat(str(self.end))
+        changed = [last - timedelta(days=n) for n in (0, *K.RETENTION_OFFSETS)] if self.single_day else None
+        first = max(min(changed).isoformat(), str(self.data_start)) if changed else self.data_start
+        report = reports.retention_daily(self.wh.read(USER, first, self.end), first, self.end)
+        return self.wh.write_partitions(RETENTION, report.filter(F.col("event_date").isin(changed)) if changed else report)
 
     def ads_user_rfm(self):
-        return self.wh.replace_snapshot(RFM, reports.rfm(self.wh.read(FACT), self.data_start, self.end))
+        """From the user aggregate, one row per user and day, rather than from all facts."""
+        users = self.wh.read(USER, self.data_start, self.end)
+        return self.wh.replace_snapshot(RFM, reports.rfm_from_daily(users, self.data_start, self.end))
 
     def ads_overview(self):
         return self.put(OVERVIEW, reports.daily_overview(
@@ -229,6 +235,12 @@ def check(wh: Warehouse, start, end) -> DataFrame:
     return stack(rows)
 
 
+def _recent(wh: Warehouse, start, end) -> DataFrame:
+    """The source days of the range and those the volume gate looks back to, chosen from the list of partitions."""
+    days = [d for d in wh.partitions(RAW) if d < str(start)][-K.VOLUME_DAYS:] + [d for d in wh.partitions(RAW) if str(start) <= d <= str(end)]
+    return wh.read(RAW).filter(F.col("event_date").isin([date.fromisoformat(d) for d in days] or [None]))
+
+
 def backfill(wh: Warehouse, events: DataFrame, start, end) -> DataFrame:
     """Load the missing days of the range that pass the source gate; report every day.
 
@@ -241,7 +253,7 @@ def backfill(wh: Warehouse, events: DataFrame, start, end) -> DataFrame:
     incoming = cleaning.with_event_date(events).select(*wh.spec(RAW).column_names).filter(
         F.col("event_date").isin(wanted) if wanted else F.lit(False)
     )
-    gate = quality.ods_gate(stack([wh.read(RAW), incoming]), start, end).filter(F.col("status") == quality.BLOCK)
+    gate = quality.ods_gate(stack([_recent(wh, start, end), incoming]), start, end).filter(F.col("status") == quality.BLOCK)
     blocked: dict = {}
     for row in gate.select("event_date", "seq", "code").orderBy("event_date", "seq").collect():  # a few rows per day
         blocked.setdefault(row.event_date, []).append(row.code)

@@ -34,7 +34,8 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     brand = F.when(
         k % 11 != 0,
-        F.concat(F.lit("brand"), (k % 7).cast("string"), F.when((k % 3 == 0) & (day > 10), "b").otherwise("")),
+        F.concat(F.lit("brand"), (k % 7).cast("string"), F.when((k % 3 == 0) & (day > 10), "b").otherwise(""),
+                 F.when((k % 5 == 0) & (day > 29), "c").otherwise("")),
     )
     price = F.when(eid % 107 == 0, None).when(eid % 89 == 0, -F.col("value")).otherwise(F.col("value"))
     session = (

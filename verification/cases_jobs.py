@@ -70,7 +70,7 @@ def _(t):
     SELECT event_date, COUNT(*) AS cnt FROM fact WHERE event_date <> DATE '{DAY}' OR is_purchase = 1 GROUP BY event_date""")
 def _(t):
     wh = t.warehouse("partitions")
-    fact = t.fact.withColumn("behavior_type", F.lit(None).cast("string"))
+    fact = t.fact
     wh.write_partitions(jobs.FACT, fact)
     # one day again, with fewer rows: the other days must stay
     wh.write_partitions(jobs.FACT, fact.filter((F.col("event_date") == DAY) & (F.col("is_purchase") == 1)))
@@ -295,29 +295,15 @@ def _(t):
     )
 
 
-_DAY_STEPS = ("dwd_event_fact", "dws_user_behavior", "dim_product_scd2", "dim_user", "dim_session", "dim_category",
-              "ads_trade", "ads_user_retention", "ads_user_rfm")
-
-
-@case("build_day", f"""
-    WITH f AS (SELECT * FROM fact WHERE event_date <= DATE '{MERGE_DAY}')
-    SELECT 'dwd_event_fact' AS table_name, COUNT(*) AS row_cnt FROM f
-    UNION ALL SELECT 'dws_user_behavior_daily', COUNT(*) FROM (SELECT DISTINCT event_date, user_id FROM f)
-    UNION ALL SELECT 'dim_user', COUNT(DISTINCT user_id) FROM f
-    UNION ALL SELECT 'dim_session', COUNT(DISTINCT user_session) FROM f
-    UNION ALL SELECT 'dim_category', COUNT(DISTINCT category_id) FROM f
-    UNION ALL SELECT 'ads_trade_daily', COUNT(DISTINCT event_date) FROM f
-    UNION ALL SELECT 'ads_user_retention_daily', COUNT(DISTINCT event_date) FROM f
-    UNION ALL SELECT 'ads_user_rfm_snapshot', COUNT(DISTINCT user_id) FROM f WHERE is_purchase = 1""")
+@case("build_day", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, COUNT(*) AS row_cnt FROM {cte}" for name, cte in _BUILT_TABLES.items()))
 def _(t):
+    """All steps, the last day added to the days before: every table ends as the range build leaves it."""
     wh = t.warehouse("day")
     events.ingest_bulk(wh, t.raw)
-    jobs.build_range(wh, START, BEFORE_MERGE, steps=_DAY_STEPS, on_block="continue")
-    jobs.build_day(wh, MERGE_DAY, START, steps=_DAY_STEPS, on_block="continue")
-    return _row_counts(wh, [
-        "dwd_event_fact", "dws_user_behavior_daily", "dim_user", "dim_session", "dim_category", "ads_trade_daily",
-        "ads_user_retention_daily", "ads_user_rfm_snapshot",
-    ])
+    jobs.build_range(wh, START, BEFORE_MERGE, force=True, on_block="continue")
+    jobs.build_day(wh, MERGE_DAY, START, on_block="continue")
+    return _row_counts(wh, _BUILT_TABLES)
 
 
 _BACKFILL_SQL = f"""

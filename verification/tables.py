@@ -17,8 +17,8 @@ from tidemark.sources.warehouse import Warehouse
 START, END = "2024-01-01", "2024-01-30"
 FIRST_HALF, SECOND_HALF = ("2024-01-01", "2024-01-15"), ("2024-01-16", "2024-01-30")
 DAY, NEXT_DAY = "2024-01-05", "2024-01-06"
-MERGE_DAY = "2024-01-11"
-BEFORE_MERGE = "2024-01-10"
+MERGE_DAY = "2024-01-30"  # the last day, so merges cover all days
+BEFORE_MERGE = "2024-01-29"
 RECENCY = 7
 OFFSET = 1e-7  # moves a ratio off the exact half before rounding, where summation noise would decide
 
