@@ -44,7 +44,7 @@ BLOCK = 1 << 17       # ids after which a block is closed
 LANES = 512
 PRECISION = 20        # shares add up to 2**20
 LOW = np.uint64(1 << 31)
-REMEMBERED = 1 << 20  # distinct cuts a worker remembers
+REMEMBERED = 3 << 19  # distinct cuts a worker remembers
 STEP = 16 << 20       # bytes of text encoded at once
 
 # ---------------------------------------------------------------- tokens
@@ -87,28 +87,26 @@ class Encoder:
         second = data[np.minimum(first + 1, len(data) - 1)]
         row = long & (data[np.minimum(first, len(data) - 1)] == 32) & (_SOLID[second] | _LEAD[second])
         row &= _solid_before(data, np.maximum(end, 1))
-        ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(cuts)
-        chosen = np.flatnonzero(row)
-        size = (end - first)[chosen]
-        for part in np.split(np.arange(len(chosen)), np.searchsorted(np.cumsum(size), np.arange(1 << 16, size.sum(), 1 << 16))):
-            if not len(part):
-                continue
-            text = b"".join(data[first[i] : end[i]].tobytes() for i in chosen[part])
-            got = np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-            upto = np.searchsorted(np.cumsum(self.width[got]), np.cumsum(size[part])) + 1
-            for i, x in zip(chosen[part], np.split(got, upto[:-1])):
-                ids[i] = x
-        alone = np.flatnonzero(~row)
-        for a in range(0, len(alone), 1024):
-            part = alone[a : a + 1024]
-            texts = [data[first[i] : end[i]].tobytes().decode() for i in part]
-            for i, x in zip(part, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-                ids[i] = np.asarray(x.ids, np.uint32)
+        chosen, alone = np.flatnonzero(row), np.flatnonzero(~row)
+        in_row, apart = cuts.take(pa.array(chosen)), cuts.take(pa.array(alone))
+        data, off = flat(in_row)
+        got: list[np.ndarray] = [np.empty(0, np.uint32)]
+        for a, b in steps(off, 1 << 12):  # the library is fastest on short texts without positions
+            text = data[off[a] : off[b]].tobytes().decode()
+            got.append(np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        # ids cover the bytes one after the other, and none reaches over the end of a cut
+        upto = np.searchsorted(np.cumsum(self.width[np.concatenate(got)]), off[1:]) + 1
+        count = [np.diff(upto, prepend=0)]
+        apart_texts = [x.decode() for x in apart.to_pylist()]
+        for a in range(0, len(apart_texts), 1024):
+            for x in self.tokenizer.encode_batch_fast(apart_texts[a : a + 1024], add_special_tokens=False):
+                got.append(np.asarray(x.ids, np.uint32))
+                count.append(np.array([len(x.ids)]))
         if len(self.cuts) + len(cuts) > REMEMBERED:
             self.forget()
-        self.cuts = pa.concat_arrays([self.cuts, cuts])
-        self.ids = np.concatenate([self.ids, *ids])
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in ids])])
+        self.cuts = pa.concat_arrays([self.cuts, in_row, apart])
+        self.ids = np.concatenate([self.ids, *got])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.concatenate(count))])
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, ``end_id`` after each text, and their offsets by text."""
@@ -119,7 +117,7 @@ class Encoder:
         space = space[inner[space]]
         after = data[space + 1]
         space = space[_solid_before(data, space) & (_SOLID[after] | _LEAD[after])]
-        start = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], space]))
+        start = np.sort(np.concatenate([off[:-1][np.diff(off) > 0], space]), kind="stable")  # two sorted lists, none twice
         bounds = np.append(start, len(data)).astype(np.int64)
         cuts = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
         coded = cuts.dictionary_encode()
