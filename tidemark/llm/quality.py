@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .store import Scratch, ship
 from .textkernel import LETTERS, NOT_SPACE, Words, flat, steps
 
-SAMPLE = 12_000           # labelled documents that are fitted on
+SAMPLE = 5_000            # labelled documents that are fitted on
 SLOTS = 1 << 22           # hashed features
 BEGINNINGS = (4, 5, 6)    # bytes
 LEXICON_ROWS, LEXICON_SHARE = 8, 0.97
