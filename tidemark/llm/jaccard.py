@@ -12,10 +12,12 @@ Documents with equal sets are one class; the join runs over class representative
   that differ bound the symmetric difference from below.
 
 Links are wanted for components, so pairs that are known to be connected need no
-check: first every group's rows meet the first row of their chunk and the row
-before them; then, of the rows that are still in another component than most of
-the group, every one meets all rows of the group that pass the filters. Each pair
-is verified once, on the whole sets. No group is enumerated, none sits in memory.
+check: first every group's rows meet the shortest row of their chunk and the one
+before them by length, which are mostly the same for all shingles of a text; then
+rows of other components meet a row by chance, another one for each shingle; then,
+of the rows that are still in another component than most of the group, every one
+meets all rows of the group that pass the filters. Each pair is verified once, on the
+whole sets. No group is enumerated, none sits in memory.
 
 Rows: a null or empty text, or one without words, has ``n_shingles`` 0 and is its
 own component. A null id is linked with nothing and has a null component. Rows
@@ -100,7 +102,8 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
     return total
 
 
-_SIGNED = "doc_id long, n int, s1 long, s2 long, bits array<long>, prefix array<long>"
+_BITS = [f"b{k}" for k in range(LANES)]
+_SIGNED = f"doc_id long, n int, s1 long, s2 long, {', '.join(f'{b} long' for b in _BITS)}, prefix array<long>"
 
 
 def signed_sets(docs: DataFrame, size: int, percent: int, seen: np.ndarray) -> DataFrame:
@@ -109,7 +112,7 @@ def signed_sets(docs: DataFrame, size: int, percent: int, seen: np.ndarray) -> D
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()),
-                            ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+                            *((b, pa.int64()) for b in _BITS), ("prefix", pa.list_(pa.int64()))])
         for rows in batches:
             n, s1, s2, bits, prefix, at = [], [], [], [], [], [0]
             for s in shingle_sets(rows.column(1), size):
@@ -126,7 +129,7 @@ def signed_sets(docs: DataFrame, size: int, percent: int, seen: np.ndarray) -> D
                 longs = lambda x: pa.array(np.asarray(x, np.uint64).view(np.int64))
                 yield batch(
                     schema, rows.column(0).cast(pa.int64()), pa.array(n, pa.int32()), longs(s1), longs(s2),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * LANES), np.concatenate(bits)),
+                    *(pa.array(x) for x in np.stack(bits).T.copy()),
                     pa.ListArray.from_arrays(pa.array(np.array(at, np.int32)), longs(np.concatenate(prefix))),
                 )
 
@@ -209,42 +212,59 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
         .withColumn("chunk", F.floor((F.row_number().over(group.orderBy("n", "doc_id")) - 1) / CHUNK)).drop("size"),
         "groups",
     )
-    bits = signed.filter("doc_id IS NOT NULL").select("doc_id", "bits")
-    rows = groups.join(bits, "doc_id").withColumn("row", F.struct("doc_id", "n", "pos", "bits"))
-
-    # each row against the first of its chunk and the one before it
-    chunk = Window.partitionBy("token", "chunk").orderBy("n", "doc_id")
-    met = (
-        rows.select("row", F.first("row").over(chunk).alias("head"), F.lag("row").over(chunk).alias("last"))
-        .select("row", F.explode(F.array("head", "last")).alias("other"))
-        .filter(F.col("row.doc_id") != F.col("other.doc_id")).filter(_passes(percent, "row", "other"))
-        .select(F.least("row.doc_id", "other.doc_id").alias("a"), F.greatest("row.doc_id", "other.doc_id").alias("b")).distinct()
-    )
-    met = scratch.keep(met, "met")
-    links = scratch.keep(verified(docs, met, size, percent, scratch, "met"), "links_near")
-    known = components(links, Scratch(spark, "jaccard-near"))
+    bits = signed.filter("doc_id IS NOT NULL").select("doc_id", *_BITS)
+    row = F.struct("doc_id", "n", "pos", F.array(*_BITS).alias("bits"), "component")
+    pair = lambda x, y: (F.least(f"{x}.doc_id", f"{y}.doc_id").alias("a"), F.greatest(f"{x}.doc_id", f"{y}.doc_id").alias("b"))
+
+    def split_groups(known: DataFrame) -> DataFrame:
+        """Rows with their components, of the groups that still hold several."""
+        placed = groups.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        ends = [F.min("component").over(group), F.max("component").over(group)]
+        return placed.withColumn("mixed", ends[0] < ends[1]).filter("mixed").drop("mixed")
+
+    def meet(rows: DataFrame, *order) -> DataFrame:
+        """Each row with the first of its chunk and the one before it, in an order, where they may be linked."""
+        chunk = Window.partitionBy("token", "chunk").orderBy(*order, "row.doc_id")
+        return (
+            rows.join(bits, "doc_id").select("token", "chunk", row.alias("row"))
+            .select("row", F.first("row").over(chunk).alias("head"), F.lag("row").over(chunk).alias("last"))
+            .select("row", F.explode(F.array("head", "last")).alias("other"))
+            .filter(F.col("row.component") != F.col("other.component")).filter(_passes(percent, "row", "other"))
+            .select(*pair("row", "other")).distinct()
+        )
+
+    near = scratch.keep(meet(groups.withColumn("component", F.col("doc_id")), "row.n"), "pairs_near")
+    links = scratch.keep(verified(docs, near, size, percent, scratch, "near"), "links_near")
+    scratch.drop("near_sets", "near_ids")
+    by_chance = meet(split_groups(components(links, Scratch(spark, "jaccard-near"))), F.xxhash64("token", "row.doc_id"))
+    by_chance = scratch.keep(by_chance.join(near, ["a", "b"], "left_anti"), "pairs_chance")
+    scratch.keep(verified(docs, by_chance, size, percent, scratch, "chance"), "links_chance")
+    scratch.drop("chance_sets", "chance_ids")
+    known = components(scratch.read(links, "links_near", "links_chance"), Scratch(spark, "jaccard-chance"))
 
     # what is not in the main component of its group meets the whole group
-    placed = (
-        rows.select("token", "row").join(known.withColumnRenamed("node", "at"), F.col("row.doc_id") == F.col("at"), "left")
-        .select("token", "row", F.coalesce("component", "row.doc_id").alias("component"))
-    )
+    placed = scratch.keep(split_groups(known).drop("chunk"), "placed")
+    scratch.drop("groups")
     main = (
         placed.groupBy("token", "component").agg(F.count("*").alias("rows"))
         .groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
         .filter("parts > 1").select("token", "main")
     )
     split = scratch.keep(placed.join(main, "token"), "split")
-    odd = split.filter("component != main").select("token", F.col("row").alias("x"), F.col("component").alias("cx"))
-    rest = split.select("token", F.col("row").alias("y"), F.col("component").alias("cy"))
+    scratch.drop("placed")
+    full = split.join(bits, "doc_id")
+    odd = full.filter("component != main").select("token", row.alias("x"), F.col("component").alias("cx"))
+    rest = full.select("token", row.alias("y"), F.col("component").alias("cy"))
     left = (
         odd.join(rest, (odd["token"] == rest["token"]) & (F.col("cx") != F.col("cy")) & _passes(percent, "x", "y"))
-        .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        .select(*pair("x", "y")).distinct()
     )
-    left = scratch.keep(left.join(met, ["a", "b"], "left_anti"), "left")
+    left = scratch.keep(left, "pairs_left")
+    left = left.join(scratch.read(near, "pairs_near", "pairs_chance"), ["a", "b"], "left_anti")
+    left = scratch.keep(left, "left")
     scratch.keep(verified(docs, left, size, percent, scratch, "left"), "links_far")
     scratch.keep(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links_copies")
-    found = components(scratch.read(links, "links_near", "links_far", "links_copies"), scratch)
+    found = components(scratch.read(links, "links_near", "links_chance", "links_far", "links_copies"), scratch)
     return (
         signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
         .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
