@@ -154,20 +154,22 @@ def _passes(percent: int, x: str, y: str) -> Column:
     )
 
 
-_SETS = "doc_id long, shingles binary"
+_SETS = "doc_id long, first int, second int, shingles binary"
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity. Only texts that occur in a pair are read again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sides = F.array(F.struct(F.col("a").alias("doc_id"), F.lit(1).alias("first"), F.lit(0).alias("second")),
+                    F.struct(F.col("b").alias("doc_id"), F.lit(0).alias("first"), F.lit(1).alias("second")))
+    ids = pairs.select(F.inline(sides)).groupBy("doc_id").agg(F.max("first").alias("first"), F.max("second").alias("second"))
     ids = scratch.keep(ids, f"{label}_ids")
     few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "first", "second")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             sets = pa.array([s.tobytes() for s in shingle_sets(rows.column(1), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), sets], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), *rows.columns[2:], sets], names=["doc_id", "first", "second", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -180,8 +182,9 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, scratch
 
     sets = scratch.keep(wanted.mapInArrow(collect, _SETS), f"{label}_sets")
     return (
-        pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a")
-        .join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b")
+        # a set goes only to the side of the pairs on which its text stands
+        pairs.join(sets.filter("first = 1").select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.filter("second = 1").select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
     )
 
