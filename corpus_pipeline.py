@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, jaccard, quality, secrets
@@ -22,10 +22,21 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
 
 
+def _text_hash() -> Column:
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+
+
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows of ``docs`` without those whose id and text are in ``bad`` (doc_id, text_hash): other texts under the same or no id stay."""
+    bad = bad.select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (_text_hash() == bad["_hash"]), "left_anti")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. Rows that share an id share the worst verdict."""
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, judged.groupBy("doc_id").agg(F.min("keep").alias("keep")).filter("keep"))
+    """Documents that the classifier does not reject, each row judged by its own text."""
+    judged = quality.classify(
+        docs.withColumn("text_hash", _text_hash()), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_cols=("text_hash",))
+    return _without(docs, judged.filter("NOT keep"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +46,10 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth are words of benchmark windows."""
-    found = decontam.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.groupBy("doc_id").agg(F.max("contaminated").alias("bad")).filter("NOT bad"))
+    """Documents of which less than a twentieth are words of benchmark windows, each row judged by its own text."""
+    found = decontam.contamination(
+        docs.select("doc_id", "text", _text_hash().alias("text_hash")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_cols=("text_hash",))
+    return _without(docs, found.filter("contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

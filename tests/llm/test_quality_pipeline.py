@@ -77,6 +77,24 @@ def test_stages(spark, tables):
     assert text[61][0].startswith("[assign] ") and text[61][1] == len(text[61][0])
 
 
+def test_clean_rows_stay_beside_bad_ones_of_their_id(spark, tmp_path):
+    """One rejected and one contaminated row under a null id and under id 70; every other row is clean."""
+    junk = "Buy!!! NOW!!! ### $$$ %%% &&& *** "
+    clean = [" ".join(cases.words(60, 100 + i)) for i in range(8)]
+    passage = " ".join(cases.words(70, 2))
+    rows = [(i, junk * (8 + i)) for i in range(900, 940)] + [(i, " ".join(cases.words(60, i))) for i in range(1000, 1040)]
+    rows += [(i, t) for i in (None, 70) for t in (*clean, junk * 7, passage)] + [(None, None)]
+    frame = cases.frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    labels = [(i, int(i >= 1000), 0) for i, _ in rows if i is not None and i >= 900]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    under = lambda out: sorted(((r.doc_id, r.text) for r in out.collect() if r.doc_id in (None, 70)), key=str)
+    good = corpus_pipeline.keep_good(spark, frame, str(tmp_path))
+    assert under(good) == sorted([(i, t) for i in (None, 70) for t in (*clean, passage)] + [(None, None)], key=str)
+    pure = corpus_pipeline.keep_uncontaminated(spark, frame, str(tmp_path))
+    assert under(pure) == sorted([(i, t) for i in (None, 70) for t in (*clean, junk * 7)] + [(None, None)], key=str)
+
+
 def test_run_equals_the_stages(spark, tables):
     got = corpus_pipeline.run(spark, tables)
     assert got.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

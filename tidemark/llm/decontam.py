@@ -84,6 +84,8 @@ _READ = "doc_id long, row long, n_words long, hits array<struct<pos:int,token:lo
 
 def _hits(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
     packed = np.packbits(table)
+    kept = docs.columns[3:]
+    passed = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(packed).astype(bool)
@@ -110,19 +112,25 @@ def _hits(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
                 upto += (upto[-1] + np.cumsum(np.bincount(doc, minlength=len(words.first) - 1))).tolist()
             values = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(token, pa.int64()), pa.array(text, pa.string())], fields=list(kind))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), values)],
-                names=["doc_id", "row", "n_words", "hits"])
+                [rows.column(0), rows.column(1), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), values),
+                 *rows.columns[3:]], names=["doc_id", "row", "n_words", "hits", *kept])
 
-    return docs.mapInArrow(run, _READ)
+    return docs.mapInArrow(run, _READ + passed)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, shingle: int = SHINGLE,
-                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated: n_hit > 0 and share * n_hit >= n_words."""
+                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+                  keep_cols: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated: n_hit > 0 and share * n_hit >= n_words.
+
+    ``keep_cols`` passes columns of the row on.
+    """
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark, "decontam")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    kept = [f"_keep{i}" for i in range(len(keep_cols))]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *[F.col(c).alias(k) for c, k in zip(keep_cols, kept)])
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *kept)
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
 
     parts = scratch.keep(item_windows(items.filter("item_id IS NOT NULL"), window, shingle), "windows")
@@ -169,4 +177,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        *[F.col(k).alias(c) for c, k in zip(keep_cols, kept)],
     )

@@ -215,14 +215,17 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5, use_all_labels: bool = True,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, posterior (of bad, by the votes), score (of bad, by the scorer), keep.
 
-    ``use_all_labels`` False leaves the held-out labels (``held_out``) aside.
+    ``use_all_labels`` False leaves the held-out labels (``held_out``) aside. ``keep_cols`` passes columns of the row on.
     """
     spark = ship(docs.sparkSession)
     scratch = Scratch(spark, "quality")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kept = [f"_keep{i}" for i in range(len(keep_cols))]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *[F.col(c).alias(k) for c, k in zip(keep_cols, kept)])
+    passed = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in kept)
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("bad")
     ).filter("doc_id IS NOT NULL AND bad IS NOT NULL")
@@ -260,9 +263,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
                 v = np.concatenate(votes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(score), pa.float64()),
-                     *(pa.array(v[:, i], pa.int32()) for i in range(v.shape[1]))], schema=_READ_SCHEMA)
+                     *(pa.array(v[:, i], pa.int32()) for i in range(v.shape[1])), *part.columns[2:]], names=[*_READ_SCHEMA.names, *kept])
 
-        rows = docs.mapInArrow(run, _READ).join(known, "doc_id", "left")
+        rows = docs.mapInArrow(run, _READ + passed).join(known, "doc_id", "left")
         return rows.withColumn(names[-1], F.when(F.col("n_words") == 0, -1).otherwise(F.coalesce(F.col("bad").cast("int"), F.lit(-1))))
 
     voted = read(np.empty(0, np.int64), np.empty(0), 0.0)
@@ -280,5 +283,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     table = spark.createDataFrame([(*v, p) for v, p in by_pattern.items()], ", ".join(f"{n} int" for n in names) + ", posterior double")
     return (
         read(at, weights, bias).join(F.broadcast(table), names, "left")
-        .select("doc_id", F.coalesce("posterior", F.lit(1 - float(share[0]))).alias("posterior"), "score", (F.col("score") < threshold).alias("keep"))
+        .select("doc_id", F.coalesce("posterior", F.lit(1 - float(share[0]))).alias("posterior"), "score", (F.col("score") < threshold).alias("keep"),
+                *[F.col(k).alias(c) for c, k in zip(keep_cols, kept)])
     )
