@@ -5,9 +5,12 @@ Three kinds are found, leftmost and not overlapping within a kind (fixed values)
 
 Every value is counted over the whole corpus by its hash: in how many documents,
 repositories and owners it stands. A value that ``widely`` or more owners hold is a
-copied example; of the others, those that look random are live. A live value that
-is used elsewhere without a name (a whole run of value characters) is found
-there too and reported as kind ``reuse``.
+copied example. Of the others an access key id is live by its form, a named value if
+it has six different characters, a hex run if it looks random. A live value that is
+used elsewhere without a name (a whole run of value characters, of any length that
+a value may have) is found there too and reported as kind ``reuse``. Values without
+digits may be words: where ``widely`` or more owners use one without a name, those
+uses are prose and only the named ones are live.
 
 Places are found without Python: splitting at the pattern gives the texts between
 the matches, and running sums over both give the places, in code points.
@@ -34,7 +37,7 @@ ACCESS = r"(AKIA[A-Z0-9]+)"
 HEX = r"([0-9a-f]+)"
 KINDS = (("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32))
 RUN = r"([A-Za-z0-9+/_.=-]+)"
-RUN_LENGTH = 16
+RUN_LENGTH = min(least for _, _, least in KINDS)
 
 _BLOCK = 256
 
@@ -89,6 +92,10 @@ def looks_random(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 6)
 
 
+def _may_live(value: Column, kind: Column) -> Column:
+    return F.when(kind == "access", True).when(kind == "assign", F.size(F.array_distinct(F.split(value, ""))) >= 6).otherwise(looks_random(value))
+
+
 def find_secrets(docs: DataFrame, widely: int = 3, owner_col: str = "source", repo_col: str = "source",
                  id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, and ``secrets``:
@@ -103,39 +110,49 @@ def find_secrets(docs: DataFrame, widely: int = 3, owner_col: str = "source", re
         matches(text, long_run(ACCESS, 12), 16, "access"),
         matches(text, long_run(HEX, 32), 32, "hex"),
     )
-    runs = F.filter(matches(text, long_run(RUN, RUN_LENGTH), RUN_LENGTH, "reuse"), lambda m: looks_random(m["value"]))
     read = scratch.keep(
         docs.select(
             F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("doc_id"),
             *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)],
             F.col(owner_col).cast("string").alias("_owner"), F.col(repo_col).cast("string").alias("_repo"),
-            base.alias("base"), runs.alias("runs"),
+            base.alias("base"), text.alias("_text"),
         ), "read")
 
     hashed = F.sha2("m.value", 256).alias("hash")
     values = (
         read.filter("size(base) > 0").select("_row", "_owner", "_repo", F.explode("base").alias("m"))
-        .select("_row", "_owner", "_repo", hashed, looks_random(F.col("m.value")).alias("random"))
+        .select("_row", "_owner", "_repo", hashed, _may_live(F.col("m.value"), F.col("m.kind")).alias("may"), looks_random(F.col("m.value")).alias("random"))
     )
     counted = (
-        values.groupBy("hash", "_owner", "_repo", "random").agg(F.count("*").alias("rows"))
+        values.groupBy("hash", "_owner", "_repo", "random").agg(F.count("*").alias("rows"), F.max("may").alias("may"))
         .groupBy("hash", "random").agg(
             F.countDistinct(F.coalesce("_owner", F.lit("\0"))).alias("owners"), F.countDistinct(F.coalesce("_repo", F.lit("\0"))).alias("repos"),
-            F.sum("rows").alias("rows"))
-        .select("hash", F.when(F.col("owners") >= widely, "copied").when(F.col("random"), "live").otherwise("plain").alias("state"))
+            F.sum("rows").alias("rows"), F.max("may").alias("may"))
+        .select("hash", "random", F.when(F.col("owners") >= widely, "copied").when(F.col("may"), "live").otherwise("plain").alias("state"))
     )
     counted = scratch.keep(counted, "values")
+    live = counted.filter("state = 'live'").select("hash", "random")
+    counted = counted.select("hash", "state")
 
     judged = (
         read.filter("size(base) > 0").select("_row", F.explode("base").alias("m")).select("_row", "m", hashed)
         .join(counted, "hash").select("_row", F.col("m").withField("state", F.col("state")).alias("m"))
     )
     overlaps = F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (F.col("m.start") < b["end"]))
-    again = (
-        read.filter("size(runs) > 0").select("_row", "base", F.explode("runs").alias("m")).filter(~overlaps)
-        .select("_row", "m", hashed).join(counted.filter("state = 'live'"), "hash")
-        .select("_row", F.col("m").withField("state", F.col("state")).alias("m"))
+    # rows first, by their distinct runs; places only where a live value stands
+    run = long_run(RUN, RUN_LENGTH)
+    holders = scratch.keep(
+        read.select("_row", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(run), F.lit(1)))).alias("value"))
+        .select("_row", F.sha2("value", 256).alias("hash")).join(live.select("hash"), "hash", "left_semi").select("_row").distinct(), "holders")
+    bare = scratch.keep(
+        read.join(holders, "_row", "left_semi")
+        .select("_row", "_owner", "base", F.explode(matches(F.col("_text"), run, RUN_LENGTH, "reuse")).alias("m")).filter(~overlaps)
+        .select("_row", "_owner", "m", hashed).join(live, "hash"), "bare")
+    prose = (
+        bare.filter("NOT random").select("hash", F.coalesce("_owner", F.lit("\0")).alias("owner")).distinct()
+        .groupBy("hash").agg(F.count("*").alias("owners")).filter(F.col("owners") >= widely)
     )
+    again = bare.join(prose, "hash", "left_anti").select("_row", F.col("m").withField("state", F.lit("live")).alias("m"))
     scratch.keep(judged, "judged")
     again = scratch.keep(again, "again")
     per_row = scratch.read(again, "judged", "again").groupBy("_row").agg(F.array_sort(F.collect_list("m")).alias("secrets"))
