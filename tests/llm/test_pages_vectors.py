@@ -37,6 +37,24 @@ def test_template_of_a_host(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_the_region_holds_all_text():
+    teaser = "<main><h1>Head</h1><p>The long text of the page</p><article>teaser</article></main>"
+    assert pages.main_text(teaser) == "Head\nThe long text of the page\nteaser"
+    assert pages.main_text("<div class=post><h1>Head</h1><p class=lead>Lead of it</p><div class=entry><p>a longer text than both</p></div></div>") == (
+        "Head\nLead of it\na longer text than both")
+    deep = "<article>" + "<blockquote>" * 60 + "<p>deep</p>" + "</blockquote>" * 60 + "<p>after</p></article>"
+    assert pages.main_text(deep) == "deep\nafter"
+
+
+def test_no_text_of_a_host_is_lost_to_its_layout(spark):
+    """No ``article`` and no ``main``: lead, entry and a quotation 40 elements deep belong to the text."""
+    body = lambda i: (f"<body><div class=post><h1>Head {i}</h1><p class=lead>Lead {i}</p><div class=entry><p>Entry {i} is longer than the lead and the head</p>"
+                      + "<blockquote>" * 40 + f"<p>Quote {i}</p>" + "</blockquote>" * 40 + "</div></div></body>")
+    frame = spark.createDataFrame([(i, f"http://d.example/{i}", body(i)) for i in range(10)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    assert got == {i: f"Head {i}\nLead {i}\nEntry {i} is longer than the lead and the head\nQuote {i}" for i in range(10)}
+
+
 def test_search_equals_comparing_all(spark):
     pick = np.random.default_rng(1)
     x = pick.normal(size=(300, 8)).astype(float)

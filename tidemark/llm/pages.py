@@ -15,7 +15,7 @@ largest host costs no more than its share.
 4. Per page: between the tokens of the frame lie the slots. Slots in navigation,
    headers, footers, asides, forms, notices, adverts and reader comments are closed
    (by tag, role or class), so is wording; what is left in the page's main region
-   (``article``, else ``main``, else the body) is the text.
+   (``article``, else ``main``, whichever holds most of the text, else the body) is the text.
 
 A host with fewer than ``MIN_PAGES`` pages has no template; its pages are read by
 the closed regions alone.
@@ -122,17 +122,17 @@ def _digest(text: str) -> int:
 class Open:
     """An open element: whether it is closed to readers, its region (2 article, 1 main, 0 else) and its place in the page."""
 
-    __slots__ = ("name", "closed", "region", "places")
+    __slots__ = ("name", "closed", "region", "place")
 
-    def __init__(self, name: str, closed: bool, region: int, places: tuple[int, ...]):
-        self.name, self.closed, self.region, self.places = name, closed, region, places
+    def __init__(self, name: str, closed: bool, region: int, place: int):
+        self.name, self.closed, self.region, self.place = name, closed, region, place
 
 
 class Page:
     """Walks a page once. ``blocks``: (element, text) in page order; ``tags``: the place of every tag."""
 
     def __init__(self, page: str):
-        self.stack = [Open("", False, 0, (0,))]
+        self.stack = [Open("", False, 0, 0)]
         self.depth: Counter = Counter()
         self.blocks: list[tuple[Open, str]] = []
         self.tags: list[int] = []
@@ -165,10 +165,9 @@ class Page:
             self._end_implied("li", {"ul", "ol", "menu"})
         top = self.stack[-1]
         region = max(top.region, 2 if name == "article" else 1 if name == "main" or attributes.get("role") == "main" else 0)
-        place = _digest(f"{top.places[-1]}/{name}.{attributes.get('class', '')}")
+        place = _digest(f"{top.place}/{name}.{attributes.get('class', '')}")
         self.tags.append(place)
-        # the places around an element, the innermost ones of a deep page
-        self.stack.append(Open(name, top.closed or closes, region, (*top.places[-31:], place)))
+        self.stack.append(Open(name, top.closed or closes, region, place))
         self.depth[name] += 1
 
     def _end_implied(self, name: str, within: frozenset[str] | set[str]) -> None:
@@ -209,7 +208,7 @@ def page_tokens(page: str) -> Counter:
 
 
 def wording(element: Open, text: str) -> int:
-    return _digest(f"{element.places[-1]}\0{text}")
+    return _digest(f"{element.place}\0{text}")
 
 
 def host_of(url: Column) -> Column:
@@ -254,36 +253,26 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        frames, wordings = (rows.column(i).to_pylist() for i in (3, 4))
-        texts = [main_text(text or "", frozenset(f or ()), frozenset(w or ()))
-                 for text, f, w in zip(rows.column(2).to_pylist(), frames, wordings)]
+        texts = [main_text(text or "", frozenset(w or ())) for text, w in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"])
 
 
-def main_text(page: str, frame: frozenset[int] = frozenset(), wordings: frozenset[int] = frozenset()) -> str:
-    """The slots of the page's main region: blocks that are neither closed nor wording of the template, in page order.
+def main_region(blocks: list[tuple[Open, str]]) -> list[tuple[Open, str]]:
+    """Of the blocks that are not closed those in ``article``, else ``main``, if they hold more text than all others; else all."""
+    left = [(element, text) for element, text in blocks if not element.closed]
+    total = sum(len(text) for _, text in left)
+    for region in (2, 1):
+        inside = [(element, text) for element, text in left if element.region >= region]
+        if 2 * sum(len(text) for _, text in inside) > total:
+            return inside
+    return left
 
-    Without ``article`` or ``main`` the region is the innermost element of the frame that holds
-    most of what is left.
-    """
-    left = [(element, text) for element, text in Page(page).blocks
-            if not element.closed and not (wordings and wording(element, text) in wordings)]
-    best = max((element.region for element, _ in left), default=0)
-    left = [(element, text) for element, text in left if element.region == best]
-    if best == 0 and frame:
-        size: Counter = Counter()
-        for element, text in left:
-            for place in element.places:
-                if place in frame:
-                    size[place] += len(text)
-        total = sum(len(text) for _, text in left)
-        holders = [place for place, n in size.items() if 2 * n > total]
-        if holders:
-            inner = max(holders, key=lambda place: max(e.places.index(place) for e, _ in left if place in e.places))
-            left = [(element, text) for element, text in left if inner in element.places]
-    return "\n".join(text for _, text in left)
+
+def main_text(page: str, wordings: frozenset[int] = frozenset()) -> str:
+    """The slots of the page's main region: blocks that are neither closed nor wording of the template, in page order."""
+    return "\n".join(text for element, text in main_region(Page(page).blocks) if not (wordings and wording(element, text) in wordings))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -295,6 +284,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("host", host_of(F.col("url")))
     found = scratch.keep(templates(rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")), "templates")
     return (
-        rows.join(found, "host", "left").select("page_id", "url", "html", "frame", "wording")
+        rows.join(found, "host", "left").select("page_id", "url", "html", "wording")
         .mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
     )
