@@ -55,6 +55,18 @@ def test_no_text_of_a_host_is_lost_to_its_layout(spark):
     assert got == {i: f"Head {i}\nLead {i}\nEntry {i} is longer than the lead and the head\nQuote {i}" for i in range(10)}
 
 
+def test_copies_of_an_article_keep_it(spark):
+    """Host a: 10 captures of one article and one other page; host b: near copies with a counter; host c: one row 12 times."""
+    copy = "<article><h1>Head</h1><p>The first paragraph of the article</p><p>The second one of it</p></article><footer>f</footer>"
+    near = "<article><h1>Head</h1><p>The first paragraph of the article</p><p>The second one of it</p><p>views {}</p></article>"
+    rows = [(i, f"http://a.example/{i}", copy) for i in range(10)] + [(10, "http://a.example/x", "<article><p>Another page</p></article>")]
+    rows += [(100 + i, f"http://b.example/{i}", near.format(i)) for i in range(10)] + [(200, "http://c.example/", copy)] * 12
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    whole = "Head\nThe first paragraph of the article\nThe second one of it"
+    assert len(got) == len(rows)
+    assert all(r.text == ("Another page" if r.page_id == 10 else f"{whole}\nviews {r.page_id - 100}" if 100 <= r.page_id < 200 else whole) for r in got)
+
+
 def test_search_equals_comparing_all(spark):
     pick = np.random.default_rng(1)
     x = pick.normal(size=(300, 8)).astype(float)

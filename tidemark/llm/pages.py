@@ -7,18 +7,18 @@ pages is template. Vectors are never gathered: a sum of hashes of (page, count)
 names a vector, so one aggregation over all pages finds all classes, and the
 largest host costs no more than its share.
 
-1. Per page: each token with its number of occurrences.
+1. Per page: each open token with its number, its place among the others and the tag
+   around it. Pages of a host with equal text in the main region count once.
 2. Per host and token: pages, and the name of its vector.
-3. Per host: classes on enough pages. Tags in them are the template's frame; a class
-   is nested in the one whose tokens surround it, which the place of a tag says.
-   Texts in them, or on most pages, are the template's wording.
-4. Per page: between the tokens of the frame lie the slots. Slots in navigation,
-   headers, footers, asides, forms, notices, adverts and reader comments are closed
-   (by tag, role or class), so is wording; what is left in the page's main region
-   (``article``, else ``main``, whichever holds most of the text, else the body) is the text.
-
-A host with fewer than ``MIN_PAGES`` pages has no template; its pages are read by
-the closed regions alone.
+3. Per host: classes with wording on enough pages. A class with tags of its own needs
+   few pages (a layout, an optional notice); its wording must lie inside such a tag.
+   Without one it must stand on most pages of the host.
+4. Per page and class: order and nesting of its tokens, and the text in slots. A class
+   is valid if the form is the same on all of its pages and they differ enough.
+5. Per page: closed regions are navigation, headers, footers, asides, forms, notices,
+   adverts and reader comments (by tag, role or class). Of the page's main region
+   (``article``, else ``main``, whichever holds most of the text, else the body) all is
+   text that is neither closed nor wording of a valid class.
 
 Rows: null html gives an empty text, a null url the host ''. Null ids are kept.
 Equal rows stay rows of their own. Unclosed and crossed tags are tolerated. Other
@@ -39,8 +39,11 @@ from pyspark.sql import functions as F
 
 from .store import Scratch, batch, ship
 
-MIN_PAGES = 8        # pages of a host below which nothing is deduced
-MIN_SHARE = 0.9      # share of a host's pages on which a class must stand
+MIN_PAGES = 8        # distinct pages of a host below which it has no template of its whole
+MIN_SHARE = 0.9      # share of a host's distinct pages on which that must stand
+MIN_SUPPORT = 4      # distinct pages on which a class with tags of its own must stand,
+SUPPORT = 0.05       # and their share of the host's
+MIN_SLOT = 0.2       # share of the text on a class's pages that must vary: with less, they are near copies of one another
 
 # Elements of HTML and the words by which sites name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -120,22 +123,22 @@ def _digest(text: str) -> int:
 
 
 class Open:
-    """An open element: whether it is closed to readers, its region (2 article, 1 main, 0 else) and its place in the page."""
+    """An open element: whether it is closed to readers, its region (2 article, 1 main, 0 else), its place in the page and that of the element around it."""
 
-    __slots__ = ("name", "closed", "region", "place")
+    __slots__ = ("name", "closed", "region", "place", "around")
 
-    def __init__(self, name: str, closed: bool, region: int, place: int):
-        self.name, self.closed, self.region, self.place = name, closed, region, place
+    def __init__(self, name: str, closed: bool, region: int, place: int, around: int):
+        self.name, self.closed, self.region, self.place, self.around = name, closed, region, place, around
 
 
 class Page:
-    """Walks a page once. ``blocks``: (element, text) in page order; ``tags``: the place of every tag."""
+    """Walks a page once. ``blocks``: (element, text) in page order; ``seen``: the same with (element, None) for every tag."""
 
     def __init__(self, page: str):
-        self.stack = [Open("", False, 0, 0)]
+        self.stack = [Open("", False, 0, 0, 0)]
         self.depth: Counter = Counter()
         self.blocks: list[tuple[Open, str]] = []
-        self.tags: list[int] = []
+        self.seen: list[tuple[Open, str | None]] = []
         self.now: list[str] = []
         for kind, name, attributes in tokens(page):
             if kind == "text":
@@ -152,6 +155,7 @@ class Page:
             self.now = []
             if text:
                 self.blocks.append((self.stack[-1], text))
+                self.seen.append(self.blocks[-1])
 
     def _open(self, name: str, attributes: dict[str, str]) -> None:
         closes = _is_closed(name, attributes)
@@ -166,8 +170,8 @@ class Page:
         top = self.stack[-1]
         region = max(top.region, 2 if name == "article" else 1 if name == "main" or attributes.get("role") == "main" else 0)
         place = _digest(f"{top.place}/{name}.{attributes.get('class', '')}")
-        self.tags.append(place)
-        self.stack.append(Open(name, top.closed or closes, region, place))
+        self.stack.append(Open(name, top.closed or closes, region, place, top.place))
+        self.seen.append((self.stack[-1], None))
         self.depth[name] += 1
 
     def _end_implied(self, name: str, within: frozenset[str] | set[str]) -> None:
@@ -199,14 +203,6 @@ class Page:
             del self.stack[i]
 
 
-def page_tokens(page: str) -> Counter:
-    """Tokens of a page with their number: ("t", place) of a tag, ("w", place and text) of a block."""
-    walked = Page(page)
-    out: Counter = Counter(("t", place) for place in walked.tags)
-    out.update(("w", wording(element, text)) for element, text in walked.blocks)
-    return out
-
-
 def wording(element: Open, text: str) -> int:
     return _digest(f"{element.place}\0{text}")
 
@@ -215,40 +211,113 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-_COUNTED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("kind", pa.string()), ("token", pa.int64()), ("n", pa.int64())])
+_TOKENS = "array<struct<token:bigint,tag:boolean,n:int,up:int,size:int>>"
+
 
+def page_tokens(page: str) -> tuple[int, list[tuple[int, bool, int, int, int]]]:
+    """The hash of the main region's text, and the page's open tokens in the order of their first occurrence:
+    (token, whether a tag, occurrences, index of the tag around it or -1, characters in the main region).
+    """
+    walked = Page(page)
+    inside = main_region(walked.blocks)
+    size = Counter(wording(element, text) for element, text in inside)
+    at: dict[int, int] = {}
+    out: list[list] = []
+    for element, text in walked.seen:
+        if element.closed:
+            continue
+        token = element.place if text is None else wording(element, text)
+        if token in at:
+            out[at[token]][2] += 1
+            continue
+        at[token] = len(out)
+        around = element.around if text is None else element.place
+        out.append([token, text is None, 1, at.get(around, -1), 0 if text is None else len(text) * size[token]])
+    return _digest("\n".join(text for _, text in inside)), [tuple(x) for x in out]
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, kind, token, n): tokens by their hashes; their texts go no further than this task."""
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, content, page, tokens): tokens by their hashes; their texts go no further than this task."""
+    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32())
+    for rows in batches:
+        contents, out, upto = [], [], [0]
+        for text in rows.column(2).to_pylist():
+            content, found = page_tokens(text or "")
+            contents.append(content)
+            out += found
+            upto.append(len(out))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)]
+        tokens_ = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays(columns, names=["token", "tag", "n", "up", "size"]))
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(contents, pa.int64()), rows.column(1), tokens_],
+                                         names=["host", "content", "page", "tokens"])
+
+
+_CHECKED = "host string, vector decimal(38,0), form long, texts array<bigint>, slot long, total long"
+
+
+def class_on_page(found: list[dict], members: frozenset[int], whole: bool, all_members: frozenset[int]) -> tuple[int, list[int], int, int]:
+    """A class on one page: the form of its tokens (order and nesting), its wording, the characters of the slots, of the region."""
+    form, texts, holder = [], [], []   # holder: the member tag around each token; tags stand before what they hold
+    for x in found:
+        up = x["up"]
+        up = up if up < 0 or (found[up]["token"] in members and found[up]["n"] == 1) else holder[up]
+        holder.append(up)
+        if x["token"] not in members:
+            continue
+        form.append(f"{x['token']}<{found[up]['token'] if up >= 0 else 0}")
+        if not x["tag"] and (whole or up >= 0):  # a class on part of the pages must hold its wording in a tag of its own
+            texts.append(x["token"])
+    total = sum(x["size"] for x in found)
+    return _digest(" ".join(form)), sorted(texts), total - sum(x["size"] for x in found if x["token"] in all_members), total
+
+
+def _classes_on_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        out = []
-        for host, page, text in zip(*(rows.column(i).to_pylist() for i in range(3))):
-            out += [(host, page, kind, token, n) for (kind, token), n in page_tokens(text or "").items()]
-            if len(out) > 50_000:
-                yield batch(_COUNTED, *zip(*out))
-                out = []
-        if out:
-            yield batch(_COUNTED, *zip(*out))
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, frame, wording): tags and texts of the valid classes of each host with enough pages.
-
-    A class is valid if it stands on ``MIN_SHARE`` of the pages, so a host has no more of its tokens than
-    an average page has, divided by that share: the lists of a host stay short. ``frame`` holds the tags that
-    stand exactly once on each of their pages, the only ones that can hold a nested class as a whole.
+        out: list[tuple] = []
+        for host, found, classes in zip(*(rows.column(i).to_pylist() for i in range(3))):
+            all_members = frozenset(t for c in classes for t in c["texts"])
+            there = {x["token"] for x in found}
+            for c in classes:
+                if c["texts"][0] in there:
+                    on = class_on_page(found, frozenset((*c["tags"], *c["texts"])), c["whole"], all_members)
+                    out.append((host, c["vector"], *on))
+        kinds = (pa.string(), pa.decimal128(38, 0), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)],
+                                         names=["host", "vector", "form", "texts", "slot", "total"])
+
+
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, wording): the wording of the valid classes of each host.
+
+    Pages of a host with the same text in their main region count as one. A class is a candidate if it holds wording and
+    stands on ``SUPPORT`` of the distinct pages, so a host has no more candidates than an average page has tokens, divided
+    by that share. It needs a tag of its own, unless it is the template of the whole host (``MIN_SHARE`` of at least
+    ``MIN_PAGES`` pages). It is valid if its tokens have the same order and nesting on all of its pages, and if
+    ``MIN_SLOT`` of the text there lies in slots between candidates.
     """
-    per_host = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
-    counted = pages.select("host", "page", "html").mapInArrow(_counted, "host string, page long, kind string, token long, n long")
-    vectors = counted.groupBy("host", "kind", "token").agg(
-        F.count("*").alias("on"), F.max("n").alias("most"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"))
-    classes = vectors.groupBy("host", "vector").agg(
-        F.max("on").alias("on"), F.max("most").alias("most"),
-        F.collect_list(F.when(F.col("kind") == "t", F.col("token"))).alias("tags"),
-        F.collect_list(F.when(F.col("kind") == "w", F.col("token"))).alias("texts"))
-    valid = classes.join(per_host, "host").filter(F.col("on") >= F.col("pages") * MIN_SHARE)
-    return valid.groupBy("host").agg(
-        F.flatten(F.collect_list(F.when(F.col("most") == 1, F.col("tags")))).alias("frame"), F.flatten(F.collect_list("texts")).alias("wording"))
+    described = pages.select("host", "page", "html").mapInArrow(_described, f"host string, content long, page long, tokens {_TOKENS}")
+    # copies are one page: partial minima, so that they do not gather
+    distinct = scratch.keep(described.groupBy("host", "content").agg(F.min_by("tokens", "page").alias("tokens")).filter("size(tokens) > 0"), "distinct")
+    per_host = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    vectors = distinct.select("host", "content", F.inline("tokens")).groupBy("host", "token", "tag").agg(
+        F.count("*").alias("on"), F.max("n").alias("most"), F.sum(F.xxhash64("content", "n").cast("decimal(20,0)")).cast("decimal(38,0)").alias("vector"))
+    support = F.greatest(F.lit(MIN_SUPPORT), F.col("pages") * SUPPORT)
+    classes = (
+        vectors.join(per_host, "host").filter(F.col("on") >= support).groupBy("host", "vector").agg(
+            F.max("on").alias("on"), F.max("pages").alias("pages"),
+            F.collect_list(F.when(F.col("tag") & (F.col("most") == 1), F.col("token"))).alias("tags"),
+            F.collect_list(F.when(~F.col("tag"), F.col("token"))).alias("texts"))
+        .withColumn("whole", (F.col("pages") >= MIN_PAGES) & (F.col("on") >= F.col("pages") * MIN_SHARE))
+        .filter("size(texts) > 0 AND whole")
+        .groupBy("host").agg(F.collect_list(F.struct("vector", "tags", "texts", "whole")).alias("classes"))
+    )
+    classes = scratch.keep(classes, "candidates")
+    checked = distinct.join(classes, "host").select("host", "tokens", "classes").mapInArrow(_classes_on_pages, _CHECKED)
+    valid = checked.groupBy("host", "vector").agg(
+        F.min("form").alias("form"), F.max("form").alias("other"), F.min("texts").alias("texts"),
+        F.sum("slot").alias("slot"), F.sum("total").alias("total")
+    ).filter(F.col("slot") >= F.col("total") * MIN_SLOT)
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("wording"))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +340,13 @@ def main_region(blocks: list[tuple[Open, str]]) -> list[tuple[Open, str]]:
 
 
 def main_text(page: str, wordings: frozenset[int] = frozenset()) -> str:
-    """The slots of the page's main region: blocks that are neither closed nor wording of the template, in page order."""
-    return "\n".join(text for element, text in main_region(Page(page).blocks) if not (wordings and wording(element, text) in wordings))
+    """The slots of the page's main region: blocks that are neither closed nor wording of the template, in page order.
+
+    A region of which nothing would be left stays whole.
+    """
+    inside = main_region(Page(page).blocks)
+    slots = [text for element, text in inside if wording(element, text) not in wordings] if wordings else []
+    return "\n".join(slots or [text for _, text in inside])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -282,7 +356,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    found = scratch.keep(templates(rows.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")), "templates")
+    found = scratch.keep(templates(rows.select("host", F.xxhash64("html").alias("page"), "html"), scratch), "templates")
     return (
         rows.join(found, "host", "left").select("page_id", "url", "html", "wording")
         .mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
