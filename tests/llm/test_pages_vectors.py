@@ -67,6 +67,22 @@ def test_copies_of_an_article_keep_it(spark):
     assert all(r.text == ("Another page" if r.page_id == 10 else f"{whole}\nviews {r.page_id - 100}" if 100 <= r.page_id < 200 else whole) for r in got)
 
 
+def test_classes_on_part_of_the_pages(spark):
+    """Two layouts and an optional box on one host, a host of five pages; a passage that some articles quote is text."""
+    own = lambda i: f"<p>Own text number {i} of this page</p>"
+    left = lambda i: f"<body><div class=a><p>Left layout says this</p><div class=text>{own(i)}</div></div></body>"
+    right = lambda i: f"<body><section class=b>{own(i)}<div class=z>Right layout says that</div></section></body>"
+    box = lambda i: left(i).replace("<div class=text>", "<div class=box><h4>Under review</h4></div><div class=text>")
+    quote = lambda i: left(i).replace("</div></div></body>", "<p>A passage that is quoted</p></div></div></body>")
+    kinds = [*[left] * 6, *[right] * 9, *[box] * 5, *[quote] * 4]
+    rows = [(i, f"http://two.example/{i}", kind(i)) for i, kind in enumerate(kinds)]
+    rows += [(100 + i, f"http://five.example/{i}", left(100 + i)) for i in range(5)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: f"Own text number {i} of this page" for i, _, _ in rows}
+    want |= {i: want[i] + "\nA passage that is quoted" for i, kind in enumerate(kinds) if kind is quote}
+    assert got == want
+
+
 def test_search_equals_comparing_all(spark):
     pick = np.random.default_rng(1)
     x = pick.normal(size=(300, 8)).astype(float)

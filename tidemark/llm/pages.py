@@ -303,12 +303,12 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
         F.count("*").alias("on"), F.max("n").alias("most"), F.sum(F.xxhash64("content", "n").cast("decimal(20,0)")).cast("decimal(38,0)").alias("vector"))
     support = F.greatest(F.lit(MIN_SUPPORT), F.col("pages") * SUPPORT)
     classes = (
-        vectors.join(per_host, "host").filter(F.col("on") >= support).groupBy("host", "vector").agg(
+        vectors.filter(F.col("on") >= MIN_SUPPORT).join(per_host, "host").filter(F.col("on") >= support).groupBy("host", "vector").agg(
             F.max("on").alias("on"), F.max("pages").alias("pages"),
             F.collect_list(F.when(F.col("tag") & (F.col("most") == 1), F.col("token"))).alias("tags"),
             F.collect_list(F.when(~F.col("tag"), F.col("token"))).alias("texts"))
         .withColumn("whole", (F.col("pages") >= MIN_PAGES) & (F.col("on") >= F.col("pages") * MIN_SHARE))
-        .filter("size(texts) > 0 AND whole")
+        .filter("size(texts) > 0 AND (whole OR size(tags) > 0)")
         .groupBy("host").agg(F.collect_list(F.struct("vector", "tags", "texts", "whole")).alias("classes"))
     )
     classes = scratch.keep(classes, "candidates")
@@ -316,7 +316,7 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     valid = checked.groupBy("host", "vector").agg(
         F.min("form").alias("form"), F.max("form").alias("other"), F.min("texts").alias("texts"),
         F.sum("slot").alias("slot"), F.sum("total").alias("total")
-    ).filter(F.col("slot") >= F.col("total") * MIN_SLOT)
+    ).filter((F.col("form") == F.col("other")) & (F.col("slot") >= F.col("total") * MIN_SLOT))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("wording"))
 
 
