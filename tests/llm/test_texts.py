@@ -17,6 +17,14 @@ def test_components_equal_all_pairs(spark):
     assert by_id[5] == by_id[9] == by_id[12] == 3 and by_id[21] == 20 and by_id[7] == 7
 
 
+def test_an_id_with_a_copy_and_a_text_of_its_own(spark):
+    own, copied = cases.words(80, 21), cases.words(80, 22)
+    rows = [(1, " ".join(copied)), (40, " ".join(copied)), (40, " ".join(own)), (41, " ".join([*own[:79], "changed"]))]
+    got = jaccard.jaccard_components(cases.frame(spark, rows)).collect()
+    assert sorted(((False, r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == cases.jaccard(rows)
+    assert {r.component_id for r in got} == {1}
+
+
 def test_components_of_many_near_copies(spark):
     """A chain of edits: ends are not alike, yet connected; unrelated texts that share a passage are not."""
     base = cases.words(90, 1)

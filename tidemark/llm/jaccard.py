@@ -203,9 +203,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
     named = signed.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "s1", "s2")
     of_class = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     copies = scratch.keep(
-        named.join(of_class, ["n", "s1", "s2"]).filter("doc_id != rep").select("doc_id", "rep").distinct(), "copies"
+        named.join(of_class, ["n", "s1", "s2"]).filter("doc_id != rep").select("doc_id", "rep", "n", "s1", "s2").distinct(), "copies"
     )
-    first = signed.filter("doc_id IS NOT NULL AND n > 0").join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    first = signed.filter("doc_id IS NOT NULL AND n > 0").join(copies, ["doc_id", "n", "s1", "s2"], "left_anti")  # by row: an id may have other sets
 
     # groups: shingles that stand in the prefix of two or more representatives
     group = Window.partitionBy("token")
