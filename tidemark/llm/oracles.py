@@ -139,10 +139,59 @@ SELECT p.page_id, p.url, p.fetched, coalesce(b.verdict, 'allow') AS verdict, b.l
 FROM p LEFT JOIN best b ON p.page_id = b.page_id AND b.nth = 1
 """
 
+_RATIO = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, doc_id, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS i, len(x) AS n
+  FROM (SELECT r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS x FROM d)
+), ids AS MATERIALIZED (
+  SELECT r, doc_id, i, n, word, CAST(('0x' || substr(md5(word), 1, 7)) AS BIGINT) AS id FROM w
+), win AS MATERIALIZED (
+  SELECT r, i, lead(word, 4) OVER o IS NOT NULL AS whole, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS five
+  FROM ids WINDOW o AS (PARTITION BY r ORDER BY i)
+), again AS (
+  SELECT DISTINCT r, unnest(range(i, i + 5)) AS at
+  FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS times FROM win WHERE whole) WHERE times > 1
+), line AS (
+  SELECT r, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth
+  FROM (SELECT r, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS k FROM (SELECT r, string_split(text, chr(10)) AS x FROM d))
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), base AS MATERIALIZED (
+  SELECT d.r, d.doc_id, coalesce(a.n_words, 0) AS n_words, coalesce(a.word_chars, 0) AS word_chars,
+    len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(g.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN (SELECT r, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM ids GROUP BY r) a USING (r)
+  LEFT JOIN (SELECT r, count(*) AS n FROM line WHERE nth > 1 GROUP BY r) l USING (r)
+  LEFT JOIN (SELECT r, count(*) AS n FROM again GROUP BY r) g USING (r)
+), good AS (
+  SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM labels WHERE doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 0 AND count(*) FILTER (quality IS NULL OR toxic IS NULL) = 0 ORDER BY h, doc_id LIMIT 20000
+), fold AS (SELECT doc_id, substr(h, 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS fit FROM good),
+gram AS MATERIALIZED (
+  SELECT r, doc_id, id % 262144 AS bucket FROM ids
+  UNION ALL SELECT r, doc_id, (31 * id + after + 1) % 262144 FROM (SELECT r, doc_id, id, lead(id) OVER (PARTITION BY r ORDER BY i) AS after FROM ids) WHERE after IS NOT NULL
+), counted AS (
+  SELECT bucket, CAST(count(*) AS DOUBLE) AS raw, CAST(count(*) FILTER (fit) AS DOUBLE) AS target FROM gram LEFT JOIN fold USING (doc_id) GROUP BY bucket
+), total AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM counted),
+weight AS (
+  SELECT bucket, CASE WHEN targets = 0 THEN 0 ELSE CAST(round(65536 * ln((target + 1) / (raw * targets / raws + 1))) AS BIGINT) END AS worth FROM counted, total
+), score AS (
+  SELECT r, count(*) AS n_grams, CAST(floor(CAST(sum(worth) AS DOUBLE) / count(*)) AS BIGINT) AS score FROM gram JOIN weight USING (bucket) GROUP BY r
+), judged AS MATERIALIZED (
+  SELECT b.*, b.n_words < 10 OR 100 * b.n_repeat_words > 20 * b.n_words AS base_failed, coalesce(s.n_grams, 0) AS n_grams, coalesce(s.score, 0) AS score
+  FROM base b LEFT JOIN score s USING (r)
+), held AS (SELECT score, row_number() OVER (ORDER BY score) AS k, count(*) OVER () AS n FROM judged JOIN fold USING (doc_id) WHERE NOT fit AND NOT base_failed),
+mark AS (SELECT max(score) AS threshold FROM held WHERE k = CAST(floor(CAST(0.002 AS DOUBLE) * n) AS BIGINT) + 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_grams, score, threshold,
+  NOT base_failed AND coalesce(score >= threshold, true) AS kept
+FROM judged, mark
+"""
+
 ORACLES = {
     "op1_vector_file": _VECTOR,
     "op4_secrets": _SECRETS,
     "op5_jaccard": _JACCARD,
     "op6_decontamination": _CONTAMINATION,
     "op7_url_lists": _URL_LISTS,
+    "op13_ratio": _RATIO,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, bpe, decontam, jaccard, pages, quality, repeats, secrets, urlfilter, vafile
+from . import ans, bpe, decontam, jaccard, pages, quality, ratio, repeats, secrets, urlfilter, vafile
 from ..session import scratch_path
 
 
@@ -86,9 +86,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_vector_file, op2_quality, op3_ans, op4_secrets, op5_jaccard, op6_decontamination, op7_url_lists, op8_bpe, op9_pages, op10_repeats)
+    for f in (op1_vector_file, op2_quality, op3_ans, op4_secrets, op5_jaccard, op6_decontamination, op7_url_lists, op8_bpe, op9_pages, op10_repeats,
+              op13_ratio)
 }
 
 from .oracles import ORACLES  # noqa: E402,F401
