@@ -18,6 +18,8 @@ where the tokenizer's split always starts anew; equal cuts have equal ids, so ea
 distinct one goes through the tokenizers library once per worker while it is
 remembered. The result does not depend on what is remembered.
 
+Strings of special tokens in a text are treated as the library treats them: one id each.
+
 Rows: a null or empty text holds only the end id. Null ids sort first and rows
 that share an id by the hash of their text. Other columns are ignored.
 """
@@ -66,9 +68,9 @@ def _solid_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of many texts. Lives as long as its Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain  # the strings of special tokens are then ordinary text
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = np.zeros(self.size, np.int64)   # bytes of each id: one character of its name per byte
         for name, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -139,13 +141,13 @@ class Encoder:
         return ids, total[np.searchsorted(start, off)] + np.arange(len(off))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
 
 
 # ---------------------------------------------------------------- coder
