@@ -187,11 +187,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged, mark
 """
 
+_VARIANTS = r"""
+WITH RECURSIVE run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS lead, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), key AS MATERIALIZED (
+  SELECT run, hex(encode(lead || run)) AS hex, count(*) AS n FROM run GROUP BY ALL
+), bit(k, b, v) AS (
+  SELECT 0, b, CAST(b AS BIGINT) FROM range(256) t(b)
+  UNION ALL SELECT k + 1, b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bit WHERE k < 8
+), tab AS MATERIALIZED (SELECT b, v FROM bit WHERE k = 8),
+longest AS MATERIALIZED (SELECT max(len(hex)) // 2 AS n FROM key),
+-- crc32 is linear: what a byte adds depends on the byte and on how many follow it
+adds(d, b, v) AS (
+  SELECT 0, b, v FROM tab
+  UNION ALL SELECT a.d + 1, a.b, xor(a.v // 256, t.v) FROM adds a JOIN tab t ON t.b = a.v % 256 WHERE a.d + 1 < (SELECT n FROM longest)
+), begins(n, v) AS (
+  SELECT 0, CAST(4294967295 AS BIGINT)
+  UNION ALL SELECT s.n + 1, xor(s.v // 256, t.v) FROM begins s JOIN tab t ON t.b = s.v % 256 WHERE s.n < (SELECT n FROM longest)
+), part AS (
+  SELECT hex, len(hex) // 2 AS size, i, CAST(('0x' || substr(hex, 2 * i + 1, 2)) AS BIGINT) AS b FROM (SELECT hex, unnest(range(len(hex) // 2)) AS i FROM key)
+), crc AS (
+  SELECT p.hex, xor(xor(bit_xor(a.v), any_value(z.v)), 4294967295) AS h
+  FROM part p JOIN adds a ON a.d = p.size - 1 - p.i AND a.b = p.b JOIN begins z ON z.n = p.size GROUP BY p.hex
+), seen AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n
+  FROM key JOIN crc USING (hex)
+), word AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM seen WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), gap AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gap a JOIN gap b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gap a JOIN word b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gap a JOIN word b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word
+), form AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 2 * w.n THEN (SELECT min(x.near) FROM near x WHERE x.word = w.word AND x.near_n = b.most) END AS form,
+    CASE WHEN b.most >= 2 * w.n THEN b.most END AS form_n
+  FROM word w LEFT JOIN best b USING (word)
+), chain(word, here) AS (
+  SELECT word, word FROM form
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN form f ON f.word = c.here WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.here AS root FROM form f JOIN chain c ON c.word = f.word JOIN form e ON e.word = c.here AND e.form IS NULL
+"""
+
 ORACLES = {
     "op1_vector_file": _VECTOR,
     "op4_secrets": _SECRETS,
     "op5_jaccard": _JACCARD,
     "op6_decontamination": _CONTAMINATION,
     "op7_url_lists": _URL_LISTS,
+    "op11_variants": _VARIANTS,
     "op13_ratio": _RATIO,
 }

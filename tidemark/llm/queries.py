@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans, bpe, decontam, jaccard, pages, quality, ratio, repeats, secrets, urlfilter, vafile
+from . import ans, bpe, crosstoken, decontam, jaccard, pages, quality, ratio, repeats, secrets, urlfilter, vafile, variants
 from ..session import scratch_path
 
 
@@ -86,6 +86,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.link_counts(_table(spark, sf_dir, "documents"))
+
+
 def op13_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratio.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -93,7 +101,7 @@ def op13_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_vector_file, op2_quality, op3_ans, op4_secrets, op5_jaccard, op6_decontamination, op7_url_lists, op8_bpe, op9_pages, op10_repeats,
-              op13_ratio)
+              op11_variants, op12_crosstoken, op13_ratio)
 }
 
 from .oracles import ORACLES  # noqa: E402,F401
