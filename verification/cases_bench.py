@@ -349,7 +349,7 @@ def _(t):
 _LOG = """
     l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem),
     a AS (SELECT 'dag_' || (o_custkey % 5) AS dag_id, strftime(o_orderdate, '%Y-%m-%d') AS run_id,
-                 'task_' || o AS task_id, -1 AS map_index, CAST(n AS INTEGER) AS attempt, o, n, (o + n) % 5 AS kind
+                 'task_' || o AS task_id, -1 AS map_index, CAST(n AS INTEGER) AS attempt, o, n, (o + n) % 9 AS kind
           FROM l JOIN orders ON o_orderkey = o)"""
 _KEYS = "dag_id, run_id, task_id, map_index, attempt"
 _PARSE = "'pyspark.errors.ParseException: [PARSE_SYNTAX_ERROR] Syntax error near end. (line 3, pos ' || n || ')'"
@@ -364,8 +364,13 @@ _LINES = f"""
         WHEN 2 THEN ['Task failed', '{_TRACE}', '  File "/opt/jobs/job_' || n || '.py", line ' || n,
                      'AnalysisException: [UNRESOLVED_COLUMN.WITH_SUGGESTION] No column c_' || o]
         WHEN 3 THEN ['stderr [DIVIDE_BY_ZERO] Division by zero in task ' || o, '::endgroup::', '[WARN] not an error']
-        ELSE ['SparkArithmeticException: [ARITHMETIC_OVERFLOW] overflow', '[DONE] part',
-              '[CAST_INVALID_INPUT] bad value ' || o] END"""
+        WHEN 4 THEN ['SparkArithmeticException: [ARITHMETIC_OVERFLOW] overflow', '[DONE] part',
+                     '[CAST_INVALID_INPUT] bad value ' || o]
+        WHEN 5 THEN ['Task failed', '[PARSE_SYNTAX_ERROR] Syntax error at x' || o]
+        WHEN 6 THEN ['Task failed', '{{not json}} [CAST_INVALID_INPUT] bad ' || o]
+        WHEN 7 THEN ['x', '{_TRACE}', 'Outer: why', '{_TRACE}', 'AnalysisException: [UNRESOLVED_COLUMN] deep ' || o, 'also']
+        ELSE ['{_TRACE}'] || list_transform(range(1, CASE WHEN o % 64 = 0 THEN 151 ELSE 4 END), lambda i: 'step ' || i)
+             || ['[DIVIDE_BY_ZERO] far ' || o] END"""
 
 
 @case("log_lines", f"""
@@ -376,27 +381,26 @@ def _(t):
     return logs.decode_logs(attempts.task_logs(t.spark, t.sf_dir))
 
 
+# per error: kind of log, first and last line of its block behind the two lines all logs begin with, what it is, the line of its message
+_BLOCKS = """
+    (1, 1, 9, 'PARSE_SYNTAX_ERROR', 'ParseException', 'syntax error', 4), (2, 2, 4, 'UNRESOLVED_COLUMN.WITH_SUGGESTION', 'AnalysisException', 'analysis error', 4),
+    (3, 1, 1, 'DIVIDE_BY_ZERO', 'SparkSQLExecutionError', 'execution error', 1), (4, 1, 3, 'ARITHMETIC_OVERFLOW', 'SparkArithmeticException', 'execution error', 1),
+    (4, 3, 3, 'CAST_INVALID_INPUT', 'SparkSQLExecutionError', 'execution error', 3), (5, 2, 2, 'PARSE_SYNTAX_ERROR', 'SparkSQLExecutionError', 'syntax error', 2),
+    (6, 2, 2, 'CAST_INVALID_INPUT', 'SparkSQLExecutionError', 'execution error', 2), (7, 4, 6, 'UNRESOLVED_COLUMN', 'AnalysisException', 'analysis error', 5),
+    (8, 1, 999, 'DIVIDE_BY_ZERO', 'SparkSQLExecutionError', 'execution error', -1)"""
+
+
 @case("sql_errors", f"""
-    WITH {_LOG.strip()}
-    SELECT {_KEYS}, 'PARSE_SYNTAX_ERROR' AS error_code, 'ParseException' AS exception_type, 'syntax error' AS category,
-           {_PARSE} AS message, '/opt/jobs/job_' || n || '.py' AS source_file, attempt AS source_line, 3 AS sql_line,
-           attempt AS sql_pos, 'SELECT customer, SUM(amount)' || chr(10) || 'FROM t_' || o || chr(10) || 'GROUP BY' AS sql
-    FROM a WHERE kind = 1
-    UNION ALL
-    SELECT {_KEYS}, 'UNRESOLVED_COLUMN.WITH_SUGGESTION', 'AnalysisException', 'analysis error',
-           'AnalysisException: [UNRESOLVED_COLUMN.WITH_SUGGESTION] No column c_' || o, '/opt/jobs/job_' || n || '.py',
-           attempt, NULL, NULL, NULL FROM a WHERE kind = 2
-    UNION ALL
-    SELECT {_KEYS}, 'DIVIDE_BY_ZERO', 'SparkSQLExecutionError', 'execution error',
-           'stderr [DIVIDE_BY_ZERO] Division by zero in task ' || o, NULL, NULL, NULL, NULL, NULL FROM a WHERE kind = 3
-    UNION ALL
-    SELECT {_KEYS}, 'ARITHMETIC_OVERFLOW', 'SparkArithmeticException', 'execution error',
-           'SparkArithmeticException: [ARITHMETIC_OVERFLOW] overflow', NULL, NULL, NULL, NULL, NULL FROM a WHERE kind = 4
-    UNION ALL
-    SELECT {_KEYS}, 'CAST_INVALID_INPUT', 'SparkSQLExecutionError', 'execution error',
-           '[CAST_INVALID_INPUT] bad value ' || o, NULL, NULL, NULL, NULL, NULL FROM a WHERE kind = 4""")
-def _(t):
-    return logs.extract_sql_errors(attempts.task_logs(t.spark, t.sf_dir)).drop("raw_traceback")
+    WITH {_LOG.strip()},
+    x AS (SELECT *, {_LINES} AS lines FROM a),
+    e(kind, first_line, last_line, error_code, exception_type, category, message_line) AS (VALUES {_BLOCKS.strip()})
+    SELECT {_KEYS}, error_code, exception_type, category, lines[message_line] AS message,
+           CASE WHEN kind IN (1, 2) THEN '/opt/jobs/job_' || n || '.py' END AS source_file, CASE WHEN kind IN (1, 2) THEN attempt END AS source_line,
+           CASE WHEN kind = 1 THEN 3 END AS sql_line, CASE WHEN kind = 1 THEN attempt END AS sql_pos,
+           CASE WHEN kind = 1 THEN array_to_string(lines[6:8], chr(10)) END AS sql, array_to_string(lines[first_line:last_line], chr(10)) AS raw_traceback
+    FROM x JOIN e USING (kind)""")
+def _(t):
+    return logs.extract_sql_errors(attempts.task_logs(t.spark, t.sf_dir))
 
 
 _ATTEMPTS = f"""{_LOG.strip()},
@@ -411,13 +415,17 @@ _ATTEMPTS = f"""{_LOG.strip()},
                  AS errors, a.kind FROM k FULL JOIN a USING ({_KEYS}))"""
 
 
-@case("attempts_merge", f"WITH {_ATTEMPTS} SELECT {_KEYS}, state, duration, has_log FROM m")
+@case("attempts_merge", f"""
+    WITH {_ATTEMPTS}
+    SELECT {_KEYS}, m.state, CASE WHEN m.state <> 'unknown' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS start_date,
+           CASE WHEN m.state <> 'unknown' THEN strftime(o_orderdate + INTERVAL 90 SECOND, '%Y-%m-%d %H:%M:%S') END AS end_date, duration, has_log
+    FROM m JOIN orders ON o_orderkey = CAST(substr(task_id, 6) AS BIGINT)""")
 def _(t):
     merged = logs.merge_attempts(
         attempts.task_history(t.spark, t.sf_dir), attempts.task_current(t.spark, t.sf_dir),
         attempts.task_logs(t.spark, t.sf_dir),
     )
-    return merged.drop("start_date", "end_date")
+    return merged.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_date", "end_date")})
 
 
 def _attempts(t):
@@ -439,6 +447,6 @@ def _(t):
 @case("attempt_kpis_syntax", f"""
     WITH {_ATTEMPTS}
     SELECT COUNT(*) AS attempts, {cnt("state = 'success'")} AS success, {cnt("state = 'failed'")} AS failed,
-           {cnt('errors > 0')} AS with_sql_error FROM m WHERE dag_id = 'dag_1' AND kind = 1""")
+           {cnt('errors > 0')} AS with_sql_error FROM m WHERE dag_id = 'dag_1' AND kind IN (1, 5)""")
 def _(t):
     return logs.attempt_kpis(logs.filter_attempts(_attempts(t), dag="dag_1", kind="syntax", text="parse_syntax"))
