@@ -192,7 +192,7 @@ class Trie:
 def near_pairs(words: DataFrame, dealt: list[str], held: int = HELD) -> DataFrame:
     """(word, n, near, near_n), both ways, of all words one letter apart."""
     spark, groups = ship(words.sparkSession), len(dealt)
-    group_of = np.zeros(256, np.uint8)
+    group_of = np.full(256, 255, np.uint8)  # a letter not dealt out is on no level
     for g, letters in enumerate(dealt):
         for letter in letters:
             group_of[ord(letter)] = g
