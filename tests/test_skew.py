@@ -27,6 +27,7 @@ def test_all_variants_give_the_same_values(spark):
     assert rows(skew.agg_salted(df)) == want
     assert rows(skew.agg_salted_hot(df, hot)) == want
     assert rows(skew.agg_salted_hot(df, hot.filter("false"))) == want
+    assert rows(skew.agg_salted_hot(df)) == want
     assert rows(skew.agg_rebalance(df)) == want
     assert [tuple(r)[1:] for r in skew.skew_equivalence(df).collect()] == [(len(want), 0)] * 3
 
@@ -44,6 +45,20 @@ def test_hot_keys_are_few_and_found(spark):
     assert skew.hot_keys(sales(spark), rows=10**6, min_share=0.1).isEmpty()
 
 
+def test_every_key_above_the_share_is_found(spark):
+    """Forty keys just above the share and forty just below it, among many rare ones in an order that hides them."""
+    heavy = spark.range(80).select(F.explode(F.sequence(F.lit(1), F.when(F.col("id") < 40, 1000).otherwise(999).cast("int"))), "id").select("id")
+    rare = spark.range(100_000 - 40 * 1000 - 40 * 999).select((F.col("id") + 1000).alias("id"))
+    df = heavy.unionByName(rare).select(F.col("id").alias("product_id"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("half")).orderBy(F.xxhash64("id", F.rand(3)))
+    got = skew.hot_keys(df, min_share=0.01).collect()
+    assert sorted(tuple(r) for r in got) == [(k, 1000) for k in range(40)]
+    both = skew.hot_keys(df, ["product_id", "half"], min_share=0.01).collect()  # NULL is a key like any other
+    assert sorted((r.product_id, r.half) for r in both) == [(k, k if k % 2 == 0 else None) for k in range(40)]
+    assert skew.hot_keys(df.filter("false")).isEmpty()
+    plan = skew.agg_salted_hot(sales(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_salt_spreads_the_hot_key_over_reducers(spark):
     salted = sales(spark).repartition(8).withColumn("s", skew._salt(16)).filter("product_id = 7")
     sizes = [r["count"] for r in salted.groupBy("s").count().collect()]

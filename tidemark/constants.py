@@ -82,4 +82,3 @@ MONEY_TOLERANCE = 0.01
 
 # --- skewed aggregation -----------------------------------------------------
 SALT_BUCKETS = 64
-HOT_KEY_SAMPLE = 0.02

@@ -1,34 +1,56 @@
-"""Exact distinct users from mergeable bitmaps.
+"""Exact distinct users from mergeable containers of ids.
 
-A day is stored as chunks of 32,768 ids. Chunks of several days are combined by
-OR and then counted; adding daily counts would count a returning user twice.
+A day is stored as chunks of 32,768 ids. A chunk with few users holds their places as
+a sorted list of two-byte numbers, one with many a bitmap, so no chunk takes more than a
+bitmap and a user of a sparse chunk takes two bytes. Containers of several days are united
+and then counted; adding daily counts would count a returning user twice.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import between_days, day_literal, flag, ratio_or_null
 from ..session import stack
 
+MOST_LISTED = 2048  # places of two bytes that take as much as a bitmap
 
-def build_uv_bitmap(active: DataFrame) -> DataFrame:
-    """(event_date, bucket, user_bitmap) from anything with a day and a user.
+
+def build_uv_bitmap(active: DataFrame, most_listed: int = MOST_LISTED) -> DataFrame:
+    """(event_date, bucket, users, positions, user_bitmap) from anything with a day and a user.
 
     Users are made distinct per day first, by hash aggregation: a chunk is then
-    built from one row per user instead of from every event.
+    built from one row per user instead of from every event. A chunk has 32,768 places at most.
     """
     users = active.select("event_date", "user_id").filter(F.col("user_id").isNotNull()).distinct()
-    return users.groupBy("event_date", F.bitmap_bucket_number("user_id").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("user_bitmap")
-    )
+    lists = users.groupBy("event_date", F.bitmap_bucket_number("user_id").alias("bucket")).agg(
+        F.sort_array(F.collect_list(F.bitmap_bit_position("user_id").cast("smallint"))).alias("positions"))
+    few = F.size("positions") <= most_listed
+    listed = lists.filter(few).select(
+        "event_date", "bucket", F.size("positions").alias("users"), "positions", F.lit(None).cast("binary").alias("user_bitmap"))
+    mapped = lists.filter(~few).select("event_date", "bucket", F.explode("positions").alias("at")).groupBy("event_date", "bucket").agg(
+        F.count("*").cast("int").alias("users"), F.lit(None).cast("array<smallint>").alias("positions"),
+        F.bitmap_construct_agg(F.col("at").cast("bigint")).alias("user_bitmap"))
+    return stack([listed, mapped])
+
 
+def _holds(bitmap: Column, at: Column) -> Column:
+    """Whether a bitmap has the bit of a place."""
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
 
-def _merged(bitmaps: DataFrame, *keys) -> DataFrame:
-    return bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("user_bitmap")).alias("users"))
+
+def _merged(containers: DataFrame, *keys) -> DataFrame:
+    """(keys, bucket, users): the union of the containers. Lists and bitmaps are united apart and meet once per bucket."""
+    by = [*keys, "bucket"]
+    listed = containers.filter("positions IS NOT NULL").groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("places"))
+    mapped = containers.filter("user_bitmap IS NOT NULL").groupBy(*by).agg(F.bitmap_or_agg("user_bitmap").alias("bits"))
+    more = F.size(F.filter("places", lambda at: ~_holds(F.col("bits"), at)))
+    return listed.join(mapped, by, "full_outer").select(*by, F.when(F.col("bits").isNull(), F.size("places")).when(
+        F.col("places").isNull(), F.bitmap_count("bits")).otherwise(F.bitmap_count("bits") + more).cast("long").alias("users"))
 
 
 def _total(alias: str):
@@ -40,8 +62,8 @@ def uv_total(bitmaps: DataFrame) -> DataFrame:
 
 
 def uv_daily(bitmaps: DataFrame) -> DataFrame:
-    """One chunk per day and bucket, so no merge is needed."""
-    return bitmaps.groupBy("event_date").agg(F.sum(F.bitmap_count("user_bitmap")).alias("uv"))
+    """One container per day and bucket, so no merge is needed."""
+    return bitmaps.groupBy("event_date").agg(F.sum("users").alias("uv"))
 
 
 def uv_range(bitmaps: DataFrame, start, end) -> DataFrame:
@@ -60,20 +82,17 @@ def _sum0(column):
 def _pair(bitmaps: DataFrame, a, b) -> DataFrame:
     """Per bucket: users of day a, of day b, of both days, of either day.
 
-    A bucket with a chunk on one day only has no common users; AND over a single
-    chunk would return that chunk, hence the count of chunks.
+    What both days have follows from the counts of each and of the union, whichever
+    containers a bucket has, and also where one day has none.
     """
     two = bitmaps.filter(F.col("event_date").isin(date.fromisoformat(str(a)), date.fromisoformat(str(b))))
 
     def on(day):
-        return F.sum(F.when(F.col("event_date") == day_literal(day), F.bitmap_count("user_bitmap")).otherwise(F.lit(0)))
+        return F.sum(F.when(F.col("event_date") == day_literal(day), F.col("users")).otherwise(F.lit(0)))
 
-    return two.groupBy("bucket").agg(
-        on(a).alias("on_a"),
-        on(b).alias("on_b"),
-        F.when(F.count("*") == 2, F.bitmap_count(F.bitmap_and_agg("user_bitmap"))).otherwise(F.lit(0)).alias("both"),
-        F.bitmap_count(F.bitmap_or_agg("user_bitmap")).alias("either"),
-    )
+    counts = two.groupBy("bucket").agg(on(a).alias("on_a"), on(b).alias("on_b"))
+    united = _merged(two).select("bucket", F.col("users").alias("either"))
+    return counts.join(united, "bucket").withColumn("both", F.col("on_a") + F.col("on_b") - F.col("either"))
 
 
 def bitmap_retained(bitmaps: DataFrame, a, b) -> DataFrame:
@@ -87,7 +106,7 @@ def bitmap_churned(bitmaps: DataFrame, a, b) -> DataFrame:
 
 
 def bitmap_partition_check(bitmaps: DataFrame, a, b) -> DataFrame:
-    """Kept (by AND) and lost (by OR) users must add up to the users of day a."""
+    """Kept and lost users must add up to the users of day a."""
     return (
         _pair(bitmaps, a, b)
         .agg(
@@ -115,11 +134,8 @@ def _users_of(active: DataFrame, day) -> DataFrame:
 
 def uv_inflation(bitmaps: DataFrame) -> DataFrame:
     """Sum of daily counts beside the true count, and their ratio."""
-    merged = bitmaps.groupBy("bucket").agg(
-        F.sum(F.bitmap_count("user_bitmap")).alias("daily"),
-        F.bitmap_count(F.bitmap_or_agg("user_bitmap")).alias("users"),
-    )
-    return merged.agg(_sum0("daily").alias("sum_daily_uv"), _sum0("users").alias("uv")).withColumn(
+    daily = bitmaps.groupBy("bucket").agg(F.sum("users").alias("daily"))
+    return daily.join(_merged(bitmaps), "bucket").agg(_sum0("daily").alias("sum_daily_uv"), _sum0("users").alias("uv")).withColumn(
         "inflation", F.round(ratio_or_null(F.col("sum_daily_uv"), F.col("uv")), 4)
     )
 

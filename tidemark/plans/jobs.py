@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import between_days, calendar
-from ..operators import bitmap, cleaning, daily, dims, quality, reconcile, reports, scd2
+from ..operators import bitmap, cleaning, daily, dims, quality, reconcile, reports, scd2, sketches
 from ..session import stack
 from ..sources.events import RAW
 from ..sources.warehouse import Warehouse, Written
@@ -27,6 +27,7 @@ TRADE, FUNNEL, HOT, SESSION_REPORT, HOUR_REPORT, RETENTION, RFM, OVERVIEW, BITMA
     "ads_traffic_hour_daily", "ads_user_retention_daily", "ads_user_rfm_snapshot", "ads_ec_daily_overview",
     "dwd_user_uv_bitmap",
 )
+SKETCH = "dws_user_sketch_daily"
 LAYERS = ("dwd", "dws", "dim", "ads")
 
 
@@ -87,6 +88,9 @@ class _Run:
     def uv_bitmap(self):
         return self.put(BITMAP, bitmap.build_uv_bitmap(self.days(USER)))
 
+    def user_sketch(self):
+        return self.put(SKETCH, sketches.daily_sketches(self.days(USER)))
+
     # --- dim ---
     def dim_product_scd2(self):
         name = "dim_product_scd2"
@@ -164,7 +168,7 @@ class _Run:
 
 STEPS = {
     "dwd": ("dwd_event_fact", "dwd_event_dirty", "dwd_event_fact_dqc"),
-    "dws": ("dws_user_session", "dws_product", "dws_user_behavior", "dws_traffic_hour", "uv_bitmap"),
+    "dws": ("dws_user_session", "dws_product", "dws_user_behavior", "dws_traffic_hour", "uv_bitmap", "user_sketch"),
     "dim": ("dim_product_scd2", "dim_user", "dim_session", "dim_category", "dim_date"),
     "ads": (
         "ads_trade", "ads_conversion_funnel", "ads_product_hot_rank", "ads_session_behavior", "ads_traffic_hour",

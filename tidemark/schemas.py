@@ -161,8 +161,13 @@ TABLES: dict[str, TableSpec] = {
             "view_to_cart_rate double", "view_to_purchase_rate double", "cart_to_purchase_rate double",
             "avg_duration_sec double", "avg_action_cnt double", "cart_purchase_rate double",
         ), _DAY),
-        _spec("dwd", "dwd_user_uv_bitmap", "users of a day as bitmap chunks", (
-            "bucket bigint -- chunk number", "user_bitmap binary -- users of the chunk",
+        _spec("dwd", "dwd_user_uv_bitmap", "users of a day in chunks of 32,768 ids", (
+            "bucket bigint -- chunk number", "users int", "positions array<smallint> -- users of a chunk with few, ascending",
+            "user_bitmap binary -- users of a chunk with many",
+        ), _DAY),
+        _spec("dws", "dws_user_sketch_daily", "mergeable sketches of a day", (
+            "users_hll binary -- distinct users", "users_theta binary -- users, for common and lost ones",
+            "events_kll binary -- events per user",
         ), _DAY),
     )
 }

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitmap, quality, reconcile
+from tidemark.functions import between_days
+from tidemark.operators import bitmap, quality, reconcile, sketches
+from tidemark.plans import jobs
 
 from .prelude import END, START, big, cnt, rate, rnd
 from .registry import case
@@ -24,7 +26,28 @@ _A, _B = _ON.format(DAY), _ON.format(NEXT_DAY)
     SELECT event_date, CAST(FLOOR((user_id - 1) / 32768) AS BIGINT) + 1 AS bucket, COUNT(DISTINCT user_id) AS users
     FROM fact GROUP BY ALL""")
 def _(t):
-    return t.bitmaps.select("event_date", "bucket", F.bitmap_count("user_bitmap").alias("users"))
+    held = F.coalesce(F.bitmap_count("user_bitmap"), F.size("positions").cast("bigint"))
+    return t.bitmaps.select("event_date", "bucket", held.alias("users"))
+
+
+_MIXED = f"""
+    SELECT COUNT(DISTINCT user_id) AS uv, (SELECT COUNT(*) FROM ({_A} INTERSECT {_B})) AS retained,
+           (SELECT COUNT(*) FROM ({_A} EXCEPT {_B})) AS churned, 1 AS kinds_mixed, 1 AS small_enough FROM fact"""
+
+
+@case("uv_mixed_containers", _MIXED)
+def _(t):
+    # odd ids gather in few chunks, even ones lie far apart: lists and bitmaps side by side
+    user = F.col("user_id")
+    spread = t.fact.withColumn("user_id", F.when(user % 2 == 1, user).otherwise(user * 100_000))
+    held = bitmap.build_uv_bitmap(spread, most_listed=4)
+    size = F.coalesce(F.size("positions") * 2, F.lit(4096))
+    shape = held.agg(F.when((F.count("positions") > 0) & (F.count("user_bitmap") > 0), 1).otherwise(0).alias("kinds_mixed"),
+                     F.when(F.sum(F.when(F.col("positions").isNotNull(), size)) == 2 * F.sum(F.when(F.col("positions").isNotNull(), F.col("users"))), 1)
+                     .otherwise(0).alias("small_enough"))
+    return shape.withColumns({
+        "uv": bitmap.uv_total(held).scalar(), "retained": bitmap.bitmap_retained(held, DAY, NEXT_DAY).scalar(),
+        "churned": bitmap.bitmap_churned(held, DAY, NEXT_DAY).scalar()})
 
 
 @case("uv_total", f"SELECT {_UV} AS uv FROM fact")
@@ -97,6 +120,74 @@ def _(t):
     return bitmap.churned_users(t.fact, DAY, NEXT_DAY)
 
 
+# --- sketches ----------------------------------------------------------------
+
+_RANGES = {"all": (START, END), "first": FIRST_HALF, "second": SECOND_HALF}
+
+
+def _inside(df: DataFrame, exact: str) -> DataFrame:
+    """The exact count, and whether it lies inside the bounds of the estimate."""
+    return df.select(*(c for c in ("period", "lg_k") if c in df.columns), exact, F.when(F.col(exact).between(F.col("low"), F.col("high")), 1).otherwise(0).alias("inside"))
+
+
+@case("q5_uv_approx", " UNION ALL ".join(
+    f"SELECT '{n}' AS period, {_UV} AS exact, 1 AS inside, 1 AS same_as_one_sketch FROM fact WHERE event_date BETWEEN DATE '{a}' AND DATE '{b}'"
+    for n, (a, b) in _RANGES.items()))
+def _(t):
+    wh = t.warehouse("sketches")
+    wh.write_partitions(jobs.SKETCH, sketches.daily_sketches(t.ub))
+    stored = wh.read(jobs.SKETCH)
+    rows = []
+    for name, (a, b) in _RANGES.items():
+        users = t.fact.filter(between_days(a, b))
+        one = users.agg(F.hll_sketch_agg("user_id", sketches.LG_K).alias("users_hll")).withColumn("event_date", F.lit(a).cast("date"))
+        found = sketches.uv_approx(stored, a, b).withColumns({
+            "uv_one": sketches.uv_approx(one, a, b).select("uv").scalar(), "exact": users.agg(F.count_distinct("user_id")).scalar()})
+        rows.append(found.withColumns({"period": F.lit(name), "same_as_one_sketch": F.when(F.col("uv") == F.col("uv_one"), 1).otherwise(0)}).select(
+            "period", "exact", F.when(F.col("exact").between(F.col("low"), F.col("high")), 1).otherwise(0).alias("inside"), "same_as_one_sketch"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _parted(t, approx, exact: DataFrame, name: str) -> DataFrame:
+    """Estimates from sketches that hold all users, and from some too small for them."""
+    rows = []
+    for lg_k in (sketches.LG_K, 5):
+        stored = sketches.daily_sketches(t.ub, lg_k=lg_k)
+        counted = exact.agg(F.count("*")).scalar()
+        rows.append(_inside(approx(stored, DAY, NEXT_DAY, lg_k).withColumns({"exact": counted, "lg_k": F.lit(lg_k)}), "exact"))
+    return reduce(DataFrame.unionByName, rows).withColumnRenamed("exact", name)
+
+
+@case("uv_retained_approx", f"""
+    SELECT lg_k, n AS retained, 1 AS inside FROM (SELECT COUNT(*) AS n FROM ({_A} INTERSECT {_B})), (VALUES (12), (5)) v(lg_k)""")
+def _(t):
+    return _parted(t, sketches.retained_approx, bitmap.retained_users(t.fact, DAY, NEXT_DAY), "retained")
+
+
+@case("uv_churned_approx", f"""
+    SELECT lg_k, n AS churned, 1 AS inside FROM (SELECT COUNT(*) AS n FROM ({_A} EXCEPT {_B})), (VALUES (12), (5)) v(lg_k)""")
+def _(t):
+    return _parted(t, sketches.churned_approx, bitmap.churned_users(t.fact, DAY, NEXT_DAY), "churned")
+
+
+@case("event_distribution_range", " UNION ALL ".join(
+    f"SELECT '{n}' AS period, CAST(p AS DOUBLE) AS share, (SELECT COUNT(DISTINCT event_date) FROM ub WHERE event_date BETWEEN DATE '{a}' AND DATE '{b}') AS days, "
+    f"1 AS inside FROM (VALUES (0.5), (0.9), (0.99)) v(p)" for n, (a, b) in _RANGES.items()))
+def _(t):
+    # the rank that the estimate has among all rows must be the wanted one, up to the stated error
+    stored = sketches.daily_sketches(t.ub)
+    error, rows = sketches.rank_error(), []
+    for name, (a, b) in _RANGES.items():
+        found = sketches.event_quantiles(stored, a, b).agg(F.collect_list(F.struct("share", "events", "days"))).scalar()  # three quantiles
+        each = t.ub.filter(between_days(a, b)).select("active_action_cnt", F.inline(found))
+        ranked = each.groupBy("share", "days").agg(
+            F.avg((F.col("active_action_cnt") < F.col("events")).cast("int")).alias("below"),
+            F.avg((F.col("active_action_cnt") <= F.col("events")).cast("int")).alias("upto"))
+        inside = (F.col("below") <= F.col("share") + error) & (F.col("upto") >= F.col("share") - error)
+        rows.append(ranked.select(F.lit(name).alias("period"), "share", "days", F.when(inside, 1).otherwise(0).alias("inside")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- gates -------------------------------------------------------------------
 
 # the gates also judge two days past the data, which have no rows
