@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import between_days, calendar, cnt_if, day_literal, day_number, flag, sum_if
+from ..functions import between_days, calendar, cnt_if, day_literal, day_number, flag, sum_if, unusable_number
 from ..session import stack
 from .daily import type_users_daily
 
@@ -303,6 +303,32 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
+def _exact(df: DataFrame) -> list[Column]:
+    """Columns with doubles as whole numbers of ten-thousandths, so that a sum in another order has the same value."""
+    def value(name: str, kind: str) -> Column:
+        if kind != "double":
+            return F.col(name)
+        whole = F.floor(F.col(name) * 10_000 + 0.5001)  # noise around an exact half falls on one side
+        return F.when(unusable_number(name), F.col(name).cast("string")).otherwise(whole.cast("string"))
+
+    return [value(name, kind) for name, kind in sorted(df.dtypes)]
+
+
+def partition_digests(df: DataFrame, partition: str | None) -> DataFrame:
+    """(part, row_cnt, hash_sum, hash_xor) per partition, ``all`` for a table without. Digests of parts add up to that of the table."""
+    part = F.coalesce(F.col(partition).cast("string"), F.lit("none")) if partition else F.lit("all")
+    return df.select(part.alias("part"), F.xxhash64(*_exact(df)).alias("h")).groupBy("part").agg(
+        F.count("*").alias("row_cnt"), F.sum(F.col("h").cast("decimal(20,0)")).alias("hash_sum"), F.bit_xor("h").alias("hash_xor"))
+
+
+def digest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(table_name, part, row_cnt, status): ``same``, ``changed``, ``added`` or ``removed``, from digests (table_name, part, ...) alone."""
+    sides = [df.select("table_name", "part", F.struct("row_cnt", "hash_sum", "hash_xor").alias(side)) for side, df in (("a", before), ("b", after))]
+    both = sides[0].join(sides[1], ["table_name", "part"], "full_outer")
+    status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") == F.col("b"), "same").otherwise("changed")
+    return both.select("table_name", "part", F.coalesce("b.row_cnt", "a.row_cnt").alias("row_cnt"), status.alias("status"))
+
+
 # --- observations on the data ------------------------------------------------------
 
 def hour_coverage(fact: DataFrame) -> DataFrame:

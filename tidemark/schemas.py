@@ -17,6 +17,7 @@ _TYPES = {
     "int": T.IntegerType(),
     "double": T.DoubleType(),
     "binary": T.BinaryType(),
+    "array<smallint>": T.ArrayType(T.ShortType()),
 }
 
 

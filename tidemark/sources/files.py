@@ -20,6 +20,32 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file; readers see the old or the new one."""
+    aside = f"{path}.new"
+    fs, p = _open(spark, aside)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    remove(spark, path)
+    rename(spark, aside, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, also if its replacement was cut off between removal and rename."""
+    for place in (path, f"{path}.new"):
+        fs, p = _open(spark, place)
+        if fs.exists(p):
+            stream = fs.open(p)
+            try:
+                return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+    return None
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     fs, p = _open(spark, old)
     target = spark._jvm.org.apache.hadoop.fs.Path(new)

@@ -449,34 +449,6 @@ def _(t):
     )
 
 
-@case("rerun_fingerprint", """
-    SELECT 'dwd_event_fact' AS table_name, COUNT(*) AS row_cnt, 1 AS identical FROM fact
-    UNION ALL SELECT 'dws_user_behavior_daily', COUNT(*), 1 FROM ub
-    UNION ALL SELECT 'dws_user_session_daily', COUNT(*), 1 FROM us""")
-def _(t):
-    # the second run meets its rows in another order and partitioning
-    from tidemark.operators import cleaning, daily
-
-    again = cleaning.build_fact(t.raw.repartition(5, "price"))
-    pairs = {
-        "dwd_event_fact": (t.fact, again),
-        "dws_user_behavior_daily": (_cents(t.ub), _cents(daily.user_behavior_daily(again))),
-        "dws_user_session_daily": (t.us, daily.user_session_daily(again)),
-    }
-    parts = []
-    for name, (a, b) in pairs.items():
-        both = reconcile.fingerprint(a).unionByName(reconcile.fingerprint(b))
-        parts.append(both.agg(
-            F.max("row_cnt").alias("row_cnt"),
-            F.when(F.count_distinct("row_cnt", "hash_sum", "hash_xor") == 1, 1).otherwise(0).alias("identical"),
-        ).select(F.lit(name).alias("table_name"), "row_cnt", "identical"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _cents(ub):
-    return ub.withColumns(money("purchase_amount"))
-
-
 # --- observations --------------------------------------------------------------------
 
 

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import between_days
-from tidemark.operators import daily, dims, reports
+from tidemark.operators import daily, dims, reconcile, reports
 from tidemark.plans import handoff, jobs
 from tidemark.schemas import EVENT_TIME_FORMAT, TABLES
 from tidemark.session import scratch_path
 from tidemark.sources import events, export
+from tidemark.sources.warehouse import Warehouse
 
-from .cases_core import _RAW, RAW_COLUMNS
+from . import digest
+from .cases_core import _MERGE_SQL, _RAW, RAW_COLUMNS
 from .registry import case
 from .tables import BEFORE_MERGE, DAY, END, FIRST_HALF, MERGE_DAY, RECENCY, SECOND_HALF, START, Tables, days_of_range
 
@@ -66,15 +68,16 @@ def _(t):
 # --- sinks ---------------------------------------------------------------------
 
 
-@case("write_partition", f"""
-    SELECT event_date, COUNT(*) AS cnt FROM fact WHERE event_date <> DATE '{DAY}' OR is_purchase = 1 GROUP BY event_date""")
+@case("write_partition", digest.of_sql("dwd_event_fact", """(SELECT *, CASE event_type WHEN 'view' THEN 'view' WHEN 'cart' THEN 'add to cart'
+    WHEN 'remove_from_cart' THEN 'remove from cart' WHEN 'purchase' THEN 'purchase' END AS behavior_type FROM fact)""")
+    + f" WHERE event_date <> DATE '{DAY}' OR is_purchase = 1")
 def _(t):
     wh = t.warehouse("partitions")
     fact = t.fact
     wh.write_partitions(jobs.FACT, fact)
     # one day again, with fewer rows: the other days must stay
     wh.write_partitions(jobs.FACT, fact.filter((F.col("event_date") == DAY) & (F.col("is_purchase") == 1)))
-    return _per_day(wh.read(jobs.FACT))
+    return digest.of_frame(jobs.FACT, wh.read(jobs.FACT))
 
 
 @case("skip_existing", f"""
@@ -176,6 +179,33 @@ _BUILT_TABLES = {
     "ads_session_behavior_daily": "sess", "ads_traffic_hour_daily": "hour", "ads_user_retention_daily": "ret",
     "ads_user_rfm_snapshot": "rfm", "ads_ec_daily_overview": "ov",
 }
+_LABELLED = """(SELECT *, CASE event_type WHEN 'view' THEN 'view' WHEN 'cart' THEN 'add to cart' WHEN 'remove_from_cart' THEN 'remove from cart'
+    WHEN 'purchase' THEN 'purchase' END AS behavior_type FROM fact)"""
+#: the jobs count 30 days as recent, the report queries fewer
+_SNAPSHOT = """(SELECT user_id, r_days, f_cnt, m_amount, CASE m_good WHEN 1 THEN 'key ' ELSE 'general ' END
+    || CASE WHEN f_good = 1 AND r_days <= 30 THEN 'value' WHEN f_good = 1 THEN 'keep' WHEN r_days <= 30 THEN 'develop' ELSE 'win-back' END AS rfm_seg,
+    as_of_dt FROM (SELECT s.*, r.as_of_dt FROM scored s JOIN rfm r USING (user_id)))"""
+_VALUES = _BUILT_TABLES | {"ods_event_log": "tagged", "dwd_event_fact": _LABELLED, "ads_user_rfm_snapshot": _SNAPSHOT}
+#: a day that is added: sessions known before are not extended, history is merged
+_VALUES_BY_DAY = _VALUES | {
+    "dim_session": f"""(
+        SELECT user_session, MAX(user_id) AS user_id, MIN(event_time) AS session_start_time, MAX(event_time) AS session_end_time
+        FROM fact WHERE user_session IS NOT NULL AND event_date <= DATE '{BEFORE_MERGE}' GROUP BY user_session
+        UNION ALL SELECT user_session, MAX(user_id), MIN(event_time), MAX(event_time)
+        FROM fact WHERE event_date = DATE '{MERGE_DAY}' AND user_session NOT IN (
+            SELECT user_session FROM fact WHERE user_session IS NOT NULL AND event_date <= DATE '{BEFORE_MERGE}') GROUP BY user_session)""",
+    "dim_product_scd2": f"({_MERGE_SQL})",
+}
+
+
+def _values(wh, names) -> DataFrame:
+    return reduce(DataFrame.unionByName, [digest.of_frame(n, wh.read(n)) for n in names])
+
+
+def _values_sql(relations: dict[str, str]) -> str:
+    return " UNION ALL ".join(digest.of_sql(n, c) for n, c in relations.items())
+
+
 _EXPORT_ROWS = " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, COUNT(*) AS row_cnt FROM {c}" for n, c in _BUILT_TABLES.items() if n in export.EXPORTABLE)
 
@@ -211,8 +241,7 @@ _REPORT_CTES = {"ads_trade_daily": "trade", "ads_conversion_funnel_daily": "funn
                 "ads_session_behavior_daily": "sess", "ads_user_rfm_snapshot": "rfm", "dim_category": "dc"}
 
 
-@case("export_reports", " UNION ALL ".join(
-    f"SELECT '{n}' AS report, COUNT(*) AS row_cnt FROM {c}" for n, c in _REPORT_CTES.items()))
+@case("export_reports", _values_sql(_REPORT_CTES))
 def _(t):
     wh = t.warehouse("reports")
     for name, df in (("ads_trade_daily", t.trade), ("ads_conversion_funnel_daily", t.funnel), ("ads_product_hot_rank_daily", t.hot),
@@ -224,7 +253,7 @@ def _(t):
     out = scratch_path(t.spark, "report-files")
     paths = export.export_reports(wh, out)
     parts = [
-        t.spark.read.csv(path, header=True).agg(F.count("*").alias("row_cnt")).select(F.lit(n).alias("report"), "row_cnt")
+        digest.of_frame(n, t.spark.read.schema(wh.spec(n).schema).csv(path, header=True, enforceSchema=False))
         for n, path in zip(export.REPORTS, paths)
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -246,6 +275,31 @@ def _(t):
 
 # --- jobs ---------------------------------------------------------------------------
 
+#: exact tables, and those of sketches, of which a rerun may hold other bytes
+_EXACT = [n for n in TABLES if n != jobs.SKETCH]
+
+
+@case("rerun_fingerprint", f"""
+    SELECT table_name, parts, row_cnt, CAST(0 AS BIGINT) AS changed FROM (
+    {" UNION ALL ".join(f"SELECT '{n}' AS table_name, " + (f"COUNT(DISTINCT coalesce(CAST({TABLES[n].partition} AS VARCHAR), 'none'))" if TABLES[n].partition else
+                        "CAST(1 AS BIGINT)") + f" AS parts, COUNT(*) AS row_cnt FROM {c}" for n, c in _VALUES.items())}
+    UNION ALL SELECT 'dwd_user_uv_bitmap', COUNT(DISTINCT event_date), COUNT(*) FROM (SELECT DISTINCT event_date, CAST(FLOOR((user_id - 1) / 32768) AS BIGINT) FROM fact)
+    UNION ALL SELECT 'dim_date', 1, SUM(CASE WHEN y % 4 = 0 THEN 366 ELSE 365 END)::BIGINT FROM (SELECT DISTINCT year(event_date) AS y FROM fact))""")
+def _(t):
+    """All tables built twice; the digests kept at write time are compared partition by partition."""
+    wh = Warehouse(t.spark, scratch_path(t.spark, "rerun"), digests=True)
+    events.ingest_bulk(wh, t.raw)
+    jobs.build_range(wh, START, END, on_block="continue")
+    kept = scratch_path(t.spark, "digests")
+    wh.digests().write.parquet(kept)
+    # the second run meets its rows in another order and partitioning
+    events.ingest_bulk(wh, t.raw.repartition(5, "price"))
+    jobs.build_range(wh, START, END, on_block="continue")
+    changes = reconcile.digest_changes(t.spark.read.parquet(kept), wh.digests()).filter(F.col("table_name").isin(_EXACT))
+    return changes.groupBy("table_name").agg(
+        F.count("*").alias("parts"), F.sum("row_cnt").alias("row_cnt"), F.count_if(F.col("status") != "same").alias("changed"))
+
+
 _BUILT: dict[tuple[str, str], object] = {}
 
 
@@ -260,15 +314,9 @@ def _built(t: Tables):
     return _BUILT[key]
 
 
-def _row_counts(wh, names) -> DataFrame:
-    parts = [wh.read(n).agg(F.count("*").alias("row_cnt")).select(F.lit(n).alias("table_name"), "row_cnt") for n in names]
-    return reduce(DataFrame.unionByName, parts)
-
-
-@case("build_range", " UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, COUNT(*) AS row_cnt FROM {cte}" for name, cte in _BUILT_TABLES.items()))
+@case("build_range", _values_sql(_VALUES))
 def _(t):
-    return _row_counts(_built(t), _BUILT_TABLES)
+    return _values(_built(t), _VALUES)
 
 
 @case("check_only", """
@@ -295,15 +343,14 @@ def _(t):
     )
 
 
-@case("build_day", " UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, COUNT(*) AS row_cnt FROM {cte}" for name, cte in _BUILT_TABLES.items()))
+@case("build_day", _values_sql(_VALUES_BY_DAY))
 def _(t):
-    """All steps, the last day added to the days before: every table ends as the range build leaves it."""
+    """All steps, the last day added to the days before: every table ends as the range build leaves it, but for what a merge keeps."""
     wh = t.warehouse("day")
     events.ingest_bulk(wh, t.raw)
     jobs.build_range(wh, START, BEFORE_MERGE, force=True, on_block="continue")
     jobs.build_day(wh, MERGE_DAY, START, on_block="continue")
-    return _row_counts(wh, _BUILT_TABLES)
+    return _values(wh, _VALUES_BY_DAY)
 
 
 _BACKFILL_SQL = f"""
