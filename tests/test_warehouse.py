@@ -107,3 +107,14 @@ def test_digests_do_not_depend_on_the_order_of_a_sum(spark):
     parts = spark.range(1000).select((F.col("id") % 7).alias("k"), (F.col("id") / 100 + 0.01).alias("x"))
     sums = [parts.orderBy(o).coalesce(1).groupBy("k").agg(F.sum("x").alias("x")) for o in (F.asc("x"), F.desc("x"), F.rand(1))]
     assert len({tuple(reconcile.partition_digests(s, None).first()) for s in sums}) == 1
+
+
+def test_forms_that_differ_are_named(spark):
+    from tidemark.operators import benchset
+
+    a = spark.range(10).select("id", (F.col("id") / 3).alias("x"))
+    b = a.withColumn("x", F.when(F.col("id") == 4, 1.34).otherwise(F.col("x")))
+    got = benchset.forms_agree({"p": a, "q": a, "r": a, "none": a.filter("false")}, {"p": a.orderBy(F.desc("id")), "q": b, "r": a.limit(9), "none": a.filter("false")})
+    assert {r["query"]: r["equal"] for r in got.collect()} == {"p": 1, "q": 0, "r": 0, "none": 1}
+    with pytest.raises(ValueError, match="different columns"):
+        benchset.forms_agree({"p": a}, {"p": a.withColumn("y", F.lit(1))})

@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import day_literal, is_type
 from ..session import stack
 from .daily import type_users_daily
+from .reconcile import partition_digests
 
 
 def q1_sum_price(fact: DataFrame) -> DataFrame:
@@ -118,3 +119,22 @@ def row_gate(results: dict[str, DataFrame], expected: dict[str, int]) -> DataFra
         for name, df in results.items()
     ]
     return stack(rows).withColumn("ok", F.when(F.col("expected_rows") == F.col("actual_rows"), 1).otherwise(0))
+
+
+def forms_agree(one: dict[str, DataFrame], other: dict[str, DataFrame]) -> DataFrame:
+    """(query, rows_one, rows_other, equal): both forms of every query by the digests of their values, in any row order."""
+    def digest(df: DataFrame, side: str) -> DataFrame:
+        whole = partition_digests(df, None)
+        return whole.select(F.lit(side).alias("side"), "row_cnt", F.struct("hash_sum", "hash_xor").alias("h"))
+
+    rows = []
+    for name, df in one.items():
+        if sorted(df.dtypes) != sorted(other[name].dtypes):
+            raise ValueError(f"{name}: the forms have different columns")
+        both = stack([digest(df, "one"), digest(other[name], "other")])
+        rows.append(both.agg(
+            F.coalesce(F.max(F.when(F.col("side") == "one", F.col("row_cnt"))), F.lit(0)).alias("rows_one"),
+            F.coalesce(F.max(F.when(F.col("side") == "other", F.col("row_cnt"))), F.lit(0)).alias("rows_other"),
+            F.when((F.count("*") == 0) | ((F.count("*") == 2) & (F.count_distinct("row_cnt", "h") == 1)), 1).otherwise(0).alias("equal"),
+        ).select(F.lit(name).alias("query"), "rows_one", "rows_other", "equal"))
+    return stack(rows)
