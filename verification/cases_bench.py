@@ -455,3 +455,14 @@ def _(t):
            {cnt('errors > 0')} AS with_sql_error FROM m WHERE dag_id = 'dag_1' AND kind IN (1, 5)""")
 def _(t):
     return logs.attempt_kpis(logs.filter_attempts(_attempts(t), dag="dag_1", kind="syntax", text="parse_syntax"))
+
+
+@case("attempt_search", f"""
+    WITH {_LOG.strip()} SELECT {_KEYS} FROM a WHERE kind = 3 AND CAST(o AS VARCHAR) LIKE '1%'""")
+def _(t):
+    """A text of the error messages, over the table of grams."""
+    path = scratch_path(t.spark, "grams")
+    _attempts(t).write.parquet(f"{path}/attempts")
+    counted = t.spark.read.parquet(f"{path}/attempts")
+    logs.write_search(counted.filter("sql_errors > 0"), f"{path}/grams")
+    return logs.find_attempts(counted, t.spark.read.parquet(f"{path}/grams"), "Zero in task 1").select(*logs.RUN_KEYS)
