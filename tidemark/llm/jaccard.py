@@ -1,13 +1,15 @@
 """N-gram Jaccard join: rare-first prefixes with length, positional and suffix filters.
 
 Any total order of the shingles makes prefix filtering exact; rare-first keeps the
-groups small. Rarity comes from a table of counts of fixed size over all
-documents (a shingle's slot), so that what is sent to the executors never grows.
+groups small. Rarity comes from a table of counts of fixed size over all documents (a
+shingle's slot), kept as a byte each, so that what is sent to the executors never grows.
 Documents with equal sets are one class; the join runs over class representatives.
 
 * Two sets with J >= t share a shingle within their first n - ceil(t n) + 1 ones.
 * Length: the smaller holds at least t of the larger.
-* Positional: what lies behind the common shingle must suffice for the overlap.
+* Positional: the first shingle that two sets share, and what lies behind it in
+  both, must suffice for the overlap. A pair passes at its first common shingle if
+  it is a link; that it may fail at later ones costs nothing.
 * Suffix: the parity of every set is kept for 512 ranges of shingles; parities
   that differ bound the symmetric difference from below.
 
@@ -38,11 +40,10 @@ from .graph import components
 from .store import Scratch, batch, ship
 from .textkernel import NOT_SPACE, Words, flat, joined, mix, shingle_ranges, steps
 
-SLOTS = 1 << 18   # counts of the rarity table
+SLOTS = 1 << 21   # counts of the rarity table; a task's share of them is compressed, and one byte each is sent back
 SLICES = 16       # it is added up in so many parts
 LANES = 8         # parity bits: 8 longs of 64
 CHUNK = 4096      # rows of a group that share a first row
-BROADCAST_IDS = 1_000_000  # ids sent to all executors at most (8 MB); beyond it the join shuffles
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -67,10 +68,20 @@ def _slot(sets: np.ndarray) -> np.ndarray:
 
 
 _COUNTS = "slice int, part int, counts binary"
+_WIDTH = SLOTS // SLICES
+_STEP = np.log(1.15)  # counts this far apart get another rank
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(counts.astype(np.int64).tobytes(), asbytes=True)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(counts, 8 * _WIDTH, asbytes=True), np.int64)
 
 
 def rarity(docs: DataFrame, size: int) -> np.ndarray:
-    """Occurrences per slot over all documents: ``SLOTS`` numbers, whatever the input."""
+    """A byte per slot, larger for shingles in more documents, on a log scale: ``SLOTS`` bytes, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -79,36 +90,37 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
             for s in shingle_sets(rows.column(0), size):
                 hold.append(s)
                 n += len(s)
-                if n > 1 << 20:
+                if n > 1 << 21:
                     total += np.bincount(_slot(np.concatenate(hold)), minlength=SLOTS)
                     hold, n = [], 0
             if hold:
                 total += np.bincount(_slot(np.concatenate(hold)), minlength=SLOTS)
         part = TaskContext.get().partitionId()
         schema = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
-        yield batch(schema, list(range(SLICES)), [part] * SLICES, [x.tobytes() for x in np.split(total, SLICES)])
+        yield batch(schema, list(range(SLICES)), [part] * SLICES, [_packed(x) for x in np.split(total, SLICES)])
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows["counts"])
+        total = np.zeros(_WIDTH, np.int64)
+        for x in rows["counts"]:
+            total += _unpacked(x.as_py())
         return pa.table({"slice": rows["slice"].slice(0, 1), "part": pa.array([0], pa.int32()),
-                         "counts": pa.array([total.tobytes()], pa.binary())})
+                         "counts": pa.array([_packed(total)], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, _COUNTS)
     some = parts.groupBy("slice", F.pmod("part", F.lit(64)).alias("at")).applyInArrow(add, _COUNTS)
-    total = np.zeros(SLOTS, np.int64)
-    for row in some.groupBy("slice").applyInArrow(add, _COUNTS).collect():  # 16 rows of a fixed size
-        width = SLOTS // SLICES
-        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
-    return total
+    rank = np.zeros(SLOTS, np.uint8)
+    for row in some.groupBy("slice").applyInArrow(add, _COUNTS).collect():  # SLICES rows of a fixed size
+        seen = np.minimum(np.log1p(_unpacked(row["counts"])) / _STEP, 255)
+        rank[row["slice"] * _WIDTH : (row["slice"] + 1) * _WIDTH] = seen.astype(np.uint8)
+    return rank
 
 
 _BITS = [f"b{k}" for k in range(LANES)]
 _SIGNED = f"doc_id long, n int, s1 long, s2 long, {', '.join(f'{b} long' for b in _BITS)}, prefix array<long>"
 
 
-def signed_sets(docs: DataFrame, size: int, percent: int, seen: np.ndarray) -> DataFrame:
+def signed_sets(docs: DataFrame, size: int, percent: int, rank: np.ndarray) -> DataFrame:
     """Per document: set size, two sums that name the set, parity bits, and the prefix in rare-first order."""
-    rank = np.minimum(seen, np.iinfo(np.int32).max).astype(np.int32)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()),
@@ -149,43 +161,52 @@ def _passes(percent: int, x: str, y: str) -> Column:
     differ = sum((F.bit_count(c(x, "bits")[k].bitwiseXOR(c(y, "bits")[k])) for k in range(LANES)), F.lit(0))
     return (
         (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-        & (F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1) >= need)
+        & (F.least(n - i, m - j) >= need)
         & (n + m - 2 * need >= differ)
     )
 
 
-_SETS = "doc_id long, first int, second int, shingles binary"
+_TEXTS = "doc_id long, first int, second int, packed binary, bytes long"
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, scratch: Scratch, label: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity. Only texts that occur in a pair are read again."""
+    """The pairs (a, b) whose whole sets reach the similarity. Only texts that occur in a pair are read again.
+
+    What travels to a pair is the compressed text, about a quarter of its set of hashes.
+    """
     sides = F.array(F.struct(F.col("a").alias("doc_id"), F.lit(1).alias("first"), F.lit(0).alias("second")),
                     F.struct(F.col("b").alias("doc_id"), F.lit(0).alias("first"), F.lit(1).alias("second")))
     ids = pairs.select(F.inline(sides)).groupBy("doc_id").agg(F.max("first").alias("first"), F.max("second").alias("second"))
     ids = scratch.keep(ids, f"{label}_ids")
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "first", "second")
+    wanted = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "first", "second")
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 6)
         for rows in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(rows.column(1), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), *rows.columns[2:], sets], names=["doc_id", "first", "second", "shingles"])
+            raw = [x.as_buffer() for x in rows.column(1).cast(pa.large_binary()).fill_null(b"")]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).cast(pa.int64()), *rows.columns[2:],
+                 pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([x.size for x in raw], pa.int64())],
+                names=["doc_id", "first", "second", "packed", "bytes"],
+            )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for rows in batches:
             good = []
-            for x, y in zip(rows.column(2), rows.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            for x, nx, y, ny in zip(*(rows.column(k) for k in range(2, 6))):
+                both = [codec.decompress(t.as_buffer(), n.as_py(), asbytes=True) for t, n in ((x, nx), (y, ny))]
+                x, y = shingle_sets(pa.array(both, pa.large_binary()), size)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = scratch.keep(wanted.mapInArrow(collect, _SETS), f"{label}_sets")
+    texts = scratch.keep(wanted.mapInArrow(pack, _TEXTS), f"{label}_texts")
     return (
-        # a set goes only to the side of the pairs on which its text stands
-        pairs.join(sets.filter("first = 1").select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.filter("second = 1").select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+        # a text goes only to the side of the pairs on which it stands
+        pairs.join(texts.filter("first = 1").select(F.col("doc_id").alias("a"), F.col("packed").alias("x"), F.col("bytes").alias("nx")), "a")
+        .join(texts.filter("second = 1").select(F.col("doc_id").alias("b"), F.col("packed").alias("y"), F.col("bytes").alias("ny")), "b")
+        .select("a", "b", "x", "nx", "y", "ny").mapInArrow(compare, "a long, b long").distinct()
     )
 
 
@@ -207,12 +228,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
     )
     first = signed.filter("doc_id IS NOT NULL AND n > 0").join(copies, ["doc_id", "n", "s1", "s2"], "left_anti")  # by row: an id may have other sets
 
-    # groups: shingles that stand in the prefix of two or more representatives
+    # groups: shingles that stand in the prefix of two or more representatives; rows next to each other by length tell
+    # whether a row has any partner of a length that its place allows
     group = Window.partitionBy("token")
+    by_length = group.orderBy("n", "doc_id")
+    shorter, longer = F.lag("n").over(by_length), F.lead("n").over(by_length)
     groups = scratch.keep(
         first.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-        .withColumn("size", F.count("*").over(group)).filter("size > 1")
-        .withColumn("chunk", F.floor((F.row_number().over(group.orderBy("n", "doc_id")) - 1) / CHUNK)).drop("size"),
+        .withColumn("chunk", F.floor((F.row_number().over(by_length) - 1) / CHUNK))
+        .withColumn("partner", (shorter * 100 >= F.col("n") * percent) | (F.col("n") - F.col("pos") >= _overlap(percent, F.col("n"), longer)))
+        .filter("partner").drop("partner"),
         "groups",
     )
     bits = signed.filter("doc_id IS NOT NULL").select("doc_id", *_BITS)
@@ -238,11 +263,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
 
     near = scratch.keep(meet(groups.withColumn("component", F.col("doc_id")), "row.n"), "pairs_near")
     links = scratch.keep(verified(docs, near, size, percent, scratch, "near"), "links_near")
-    scratch.drop("near_sets", "near_ids")
+    scratch.drop("near_texts", "near_ids")
     by_chance = meet(split_groups(components(links, Scratch(spark, "jaccard-near"))), F.xxhash64("token", "row.doc_id"))
     by_chance = scratch.keep(by_chance.join(near, ["a", "b"], "left_anti"), "pairs_chance")
     scratch.keep(verified(docs, by_chance, size, percent, scratch, "chance"), "links_chance")
-    scratch.drop("chance_sets", "chance_ids")
+    scratch.drop("chance_texts", "chance_ids")
     known = components(scratch.read(links, "links_near", "links_chance"), Scratch(spark, "jaccard-chance"))
 
     # what is not in the main component of its group meets the whole group
