@@ -21,6 +21,20 @@ def test_articles_menus_and_references():
     assert pages.main_text("<b>x<article>in</b>side</article>") == "inside"
 
 
+def test_names_count_as_a_whole():
+    for name in ("content no-sidebar", "post has-sidebar", "entry share-buttons-on", "page layout-side", "post hidden-xs"):
+        assert pages.main_text(f"<body><div class='{name}'><p>the article</p></div></body>") == "the article", name
+    for name in ("sidebar", "site-footer", "cookie-notice", "comments_list", "x main-nav", "ad-slot-2"):
+        assert pages.main_text(f"<body><p>text</p><div class='{name}'><p>gone</p></div></body>") == "text", name
+
+
+def test_a_form_around_the_page():
+    assert pages.main_text("<body><form><nav>menu</nav><h1>A title</h1><p>the article</p></form></body>") == "A title\nthe article"
+    assert pages.main_text("<body><p>the whole article</p><form>your mail<input></form></body>") == "the whole article"
+    assert pages.main_text("<form>ab</form><p>cd</p>") == "cd"  # half is not most
+    assert pages.main_text("<form><input></form>") == ""
+
+
 def test_template_of_a_host(spark):
     rows = [(i, f"http://h.example/{i}", site(f"<p>Own text number {i} of the page</p><p>more {i}</p>", i), "x") for i in range(12)]
     rows += [(100, "http://h.example/n", None, "x"), (101, None, "<p>lone</p>", "x"), (None, "bad", "", "x"),

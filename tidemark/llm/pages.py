@@ -48,16 +48,20 @@ MIN_SLOT = 0.2       # share of the text on a class's pages that must vary: with
 # Elements of HTML and the words by which sites name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object select option textarea button canvas video audio datalist".split())
-CLOSED = frozenset("nav header footer aside form menu dialog".split())
+CLOSED = frozenset("nav header footer aside menu dialog".split())  # and form, unless it holds most of the page
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 CLOSED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|"
-    r"aside|widget|footer|foot|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|signup|login|"
+    r"ads?|adverts?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|"
+    r"aside|widgets?|footer|foot|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|signup|login|"
     r"share|sharing|social|related|recommend\w*|comments?|commentlist|discussion|replies|reply|disqus|responses|pagination|pager|toolbar|"
-    r"skip|hidden|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+    r"skip|hidden|copyright|legal|disclaimer", re.I)
+# Words that may stand beside those in a name of the same meaning (site-footer, comments-list); any other word ("no-sidebar") makes it another name.
+NAME_PARTS = re.compile(
+    r"site|main|page|global|primary|secondary|top|bottom|left|right|wrap|wrapper|container|inner|outer|box|block|area|bar|section|list|links?|"
+    r"items?|icons?|buttons?|slot|unit|form|policy|message|alert|posts?|articles?|stories|user|reader|search|sticky|fixed|[0-9]*", re.I)
 _PARAGRAPH_ENDS = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
     "section table ul".split())
@@ -111,7 +115,14 @@ def _is_closed(name: str, attributes: dict[str, str]) -> bool:
         return True
     if name in ("html", "body", "article", "main"):
         return False
-    return bool(CLOSED_NAMES.search(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+    return any(map(_is_closed_name, f"{attributes.get('class', '')} {attributes.get('id', '')}".split()))
+
+
+def _is_closed_name(name: str) -> bool:
+    """A whole name whose words say that it is no article text."""
+    parts = re.split("[-_]+", name)
+    closing = [p for p in parts if CLOSED_NAMES.fullmatch(p)]
+    return bool(closing) and all(p in closing or NAME_PARTS.fullmatch(p) for p in parts)
 
 
 def _clean(text: str) -> str:
@@ -123,12 +134,20 @@ def _digest(text: str) -> int:
 
 
 class Open:
-    """An open element: whether it is closed to readers, its region (2 article, 1 main, 0 else), its place in the page and that of the element around it."""
+    """An open element: whether it is closed to readers, its region (2 article, 1 main, 0 else), its place in the page and that of the
+    element around it. ``form`` is the outermost form around it, which closes it unless it holds most of the page's text.
+    """
+
+    __slots__ = ("name", "shut", "region", "place", "around", "form", "holds_page")
 
-    __slots__ = ("name", "closed", "region", "place", "around")
+    def __init__(self, name: str, shut: bool, region: int, place: int, around: int, form: Open | None = None):
+        self.name, self.shut, self.region, self.place, self.around = name, shut, region, place, around
+        self.form = self if form is None and name == "form" else form
+        self.holds_page = False
 
-    def __init__(self, name: str, closed: bool, region: int, place: int, around: int):
-        self.name, self.closed, self.region, self.place, self.around = name, closed, region, place, around
+    @property
+    def closed(self) -> bool:
+        return self.shut or (self.form is not None and not self.form.holds_page)
 
 
 class Page:
@@ -148,6 +167,13 @@ class Page:
             else:
                 self._close(name)
         self._flush()
+        in_form: dict[Open | None, int] = {}
+        for element, text in self.blocks:
+            if not element.shut:
+                in_form[element.form] = in_form.get(element.form, 0) + len(text)
+        for form, size in in_form.items():
+            if form is not None:
+                form.holds_page = 2 * size > sum(in_form.values())
 
     def _flush(self) -> None:
         if self.now:
@@ -170,7 +196,7 @@ class Page:
         top = self.stack[-1]
         region = max(top.region, 2 if name == "article" else 1 if name == "main" or attributes.get("role") == "main" else 0)
         place = _digest(f"{top.place}/{name}.{attributes.get('class', '')}")
-        self.stack.append(Open(name, top.closed or closes, region, place, top.place))
+        self.stack.append(Open(name, top.shut or closes, region, place, top.place, top.form))
         self.seen.append((self.stack[-1], None))
         self.depth[name] += 1
 
