@@ -37,6 +37,19 @@ def test_expectation_maximisation_finds_the_accuracies():
     assert ((posterior[at.ravel()] > 0.5) == (kind > 0)).mean() > best.mean() - 0.01
 
 
+def test_without_documents_the_beliefs_stay():
+    posterior, rate, share = quality.expectation_maximisation(np.empty((0, 7), int), np.empty(0))
+    assert len(posterior) == 0 and np.isfinite(rate).all() and share.sum() == 1
+
+
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    others = spark.range(10**6, 10**6 + 2000).selectExpr("id AS doc_id", "0 AS quality", "1 AS toxic")
+    scores = [{r["doc_id"]: r["score"] for r in quality.classify(docs, known, sample=200).select("doc_id", "score").collect()}
+              for known in (labels, labels.select("doc_id", "quality", "toxic").unionByName(others))]
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 10
+
+
 def test_odd_rows_are_judged(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, None), (9, None, None), (None, 0, 0), (33, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(cases.frame(spark), labels).collect()

@@ -156,7 +156,7 @@ def expectation_maximisation(votes: np.ndarray, count: np.ndarray, rounds: int =
     before[0, 1], before[1:-2, 2], before[-2, 3], before[-1, 1:] = 0.9, 0.5, 0.8, 0.99
     prior = 0.02 * count.sum()
     rate, share = before, np.ones(4) / 4
-    for _ in range(rounds):
+    for _ in range(rounds if count.sum() else 0):  # without documents the beliefs stay
         weight = p * count[:, None]
         rate = (says.T @ weight + prior * before) / ((~silent).T @ weight + prior)
         rate[-1] = before[-1]
@@ -170,17 +170,18 @@ def expectation_maximisation(votes: np.ndarray, count: np.ndarray, rounds: int =
 def train(target: np.ndarray, rows: np.ndarray, slots: np.ndarray, rounds: int = 300, keep_small: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots, weights, bias) of a logistic scorer for soft targets; only slots that tell bad from good get a weight."""
     n = len(target)
-    seen = np.bincount(slots, minlength=ALL_SLOTS).astype(float)
-    bad = np.bincount(slots, weights=target[rows], minlength=ALL_SLOTS)
+    used, column = np.unique(slots, return_inverse=True)  # only slots of the sample, not all there are
+    seen = np.bincount(column, minlength=len(used)).astype(float)
+    bad = np.bincount(column, weights=target[rows], minlength=len(used))
     share = target.mean()
     z = (bad - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
     # shape classes always take part; of the words those with the clearest difference
-    z[SLOTS:] = np.where(seen[SLOTS:] > 0, np.inf, 0)
+    z[used >= SLOTS] = np.inf
     chosen = np.flatnonzero((seen >= LEXICON_ROWS) & (np.abs(z) >= 4) | (z == np.inf))
     chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")][:MOST_FEATURES])
-    place = np.full(ALL_SLOTS, -1)
+    place = np.full(len(used), -1)
     place[chosen] = np.arange(len(chosen))
-    column = place[slots]
+    column = place[column]
     row, column = rows[column >= 0], column[column >= 0]
     w, bias = np.zeros(len(chosen)), 0.0
     step = np.full(len(chosen), 1e-8)
@@ -193,7 +194,7 @@ def train(target: np.ndarray, rows: np.ndarray, slots: np.ndarray, rounds: int =
         bias_step += miss.mean() ** 2
         w -= 0.5 * g / np.sqrt(step)
         bias -= 0.5 * miss.mean() / np.sqrt(bias_step)
-    return chosen, w, bias
+    return used[chosen], w, bias
 
 
 _READ = "doc_id long, n_words long, score double, " + ", ".join(f"v{i} int" for i in range(len(LABELLERS) - 1))
@@ -233,7 +234,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
         known = known.filter(~_held_out(F.col("doc_id")))
 
     # the sample: its size is a parameter, so it may go to the driver and to every task
-    chosen = scratch.keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "chosen")
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of other documents take no place in it
+    chosen = scratch.keep(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "chosen")
     fitted = docs.join(F.broadcast(chosen), "doc_id").select(F.col("bad").cast("int"), "text", "doc_id")
     fitted = fitted.dropDuplicates(["bad", "text"])  # copies are no further evidence
     fitted = scratch.keep(
