@@ -128,4 +128,4 @@ def test_query_matches_sql(spark, con, name):
 
 def test_all_operators_are_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
