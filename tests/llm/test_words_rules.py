@@ -270,3 +270,24 @@ def test_ratio_without_labels(spark):
         assert r.base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0])
     assert ratio.judge(cases.frame(spark, [(1, None), (2, "")]), labelled(spark, [(1, 1, 0, None)])).filter("base_failed AND NOT kept").count() == 2
     assert ratio.judge(cases.frame(spark, []), labelled(spark, [(1, 1, 0, None)])).count() == 0
+
+
+def test_ratio_takes_every_trusted_document(spark):
+    """21,000 of them: no word of the target and no held-out score may be left out."""
+    pick = random.Random(8)
+    docs = [(n, " ".join(pick.choice(("as", "ok", "it", f"w{n % 7}", f"rare{n // 300}")) for _ in range(11))) for n in range(21000)]
+    got = {r.doc_id: r for r in ratio.judge(cases.frame(spark, docs), labelled(spark, [(n, 1, 0, None) for n, _ in docs])).collect()}
+
+    def buckets(text):
+        ids = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in text.split()]
+        return [i % ratio.BUCKETS for i in ids] + [(31 * a + b + 1) % ratio.BUCKETS for a, b in zip(ids, ids[1:])]
+
+    grams = {n: buckets(t) for n, t in docs}
+    fit = {n for n, _ in docs if hashlib.md5(str(n).encode()).hexdigest()[-1] in "02468ace"}
+    raw, target = Counter(b for g in grams.values() for b in g), Counter(b for n in fit for b in grams[n])
+    share = sum(target.values()) / sum(raw.values())
+    worth = {b: round(ratio.UNIT * float(np.log((target[b] + 1) / (c * share + 1)))) for b, c in raw.items()}
+    score = {n: sum(worth[b] for b in g) // len(g) for n, g in grams.items()}
+    held = sorted(score[n] for n in score if n not in fit and not got[n].base_failed)
+    assert all(got[n].score == score[n] for n in score)
+    assert {r.threshold for r in got.values()} == {held[int(0.002 * len(held))]}
