@@ -8,6 +8,8 @@ import pytest
 from tests.sample import frame, sample_events
 from tidemark.operators import cleaning, daily
 from tidemark.plans import jobs
+from verification import cases_jobs
+from verification.registry import QUERIES
 
 
 class _Steps:
@@ -64,3 +66,12 @@ def test_products_without_key_or_brand_keep_their_row(spark):
     assert len(got) == 1 and got[0].brand is None and got[0].exposure_uv + got[0].purchase_uv == 1
     assert {(r.product_id, r.brand) for r in daily.product_daily(fact).filter("event_date = '2019-10-01'").collect()} == {
         (1001, "alpha"), (1002, "gamma")}
+
+
+def test_a_lost_column_is_found_without_the_other_tables(spark, monkeypatch):
+    def build(t):
+        raise AssertionError("only the exported table is needed")
+
+    monkeypatch.setattr(cases_jobs, "_built", build)
+    row = QUERIES["export_lost_column"](spark, "/root/testdata/sf0.001").first()
+    assert row.row_cnt == row.rejected_rows > 0 and (row.columns_equal, row.values_equal, row.ok) == (0, 0, 0)
