@@ -1,4 +1,4 @@
-"""Steps that do not need each other run side by side."""
+"""Steps and exports that do not need each other run side by side."""
 
 import re
 from threading import Barrier
@@ -8,6 +8,8 @@ import pytest
 from tests.sample import frame, sample_events
 from tidemark.operators import cleaning, daily
 from tidemark.plans import jobs
+from tidemark.sources import export
+from tidemark.sources.warehouse import Warehouse
 from verification import cases_jobs
 from verification.registry import QUERIES
 
@@ -68,6 +70,19 @@ def test_products_without_key_or_brand_keep_their_row(spark):
         (1001, "alpha"), (1002, "gamma")}
 
 
+def test_tables_are_exported_side_by_side(spark, tmp_path):
+    class Meeting(Warehouse):
+        both = Barrier(2)
+
+        def read(self, name, start=None, end=None):
+            self.both.wait(timeout=20)
+            return super().read(name, start, end)
+
+    wh = Meeting(spark, str(tmp_path / "wh"))
+    names = ["dim_user", "dim_category"]
+    assert [(r.table_name, r.row_cnt) for r in export.export_csv(wh, str(tmp_path / "out"), names).collect()] == [(n, 0) for n in names]
+
+
 def test_a_lost_column_is_found_without_the_other_tables(spark, monkeypatch):
     def build(t):
         raise AssertionError("only the exported table is needed")

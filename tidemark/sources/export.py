@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ REPORTS = (
     "ads_user_rfm_snapshot", "dim_category",
 )
 EXPORTABLE = tuple(n for n, s in TABLES.items() if all(t != "binary" for _, t, _ in s.columns))
+WRITERS = 6  # tables written at a time
 _REJECTED = "_rejected_line"
 _READ_OPTIONS = {k: v for k, v in CSV_OPTIONS.items() if k not in ("emptyValue",)}
 _MANIFEST = "db string, table_name string, partition_col string, columns string, row_cnt bigint"
@@ -37,16 +39,17 @@ _MANIFEST = "db string, table_name string, partition_col string, columns string,
 def export_csv(wh: Warehouse, out: str, names=EXPORTABLE) -> DataFrame:
     """Each table as CSV part files, partition column last, and a manifest with columns and rows.
 
-    Rows are counted while writing. The files keep the parallelism of the table.
+    Rows are counted while writing. The files keep the parallelism of the table; a few tables are written
+    side by side, as most are small.
     """
-    entries = []
-    for name in names:
+    def write(name: str) -> tuple:
         spec = wh.spec(name)
         observed, result = wh.observed(wh.read(name).select(*spec.column_names), None)
         observed.write.mode("overwrite").options(**CSV_OPTIONS).csv(f"{out}/{name}")
-        entries.append(
-            (wh.database(spec.layer), name, spec.partition, json.dumps(spec.column_names), result().rows)
-        )
+        return wh.database(spec.layer), name, spec.partition, json.dumps(spec.column_names), result().rows
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        entries = list(pool.map(write, names))
     manifest = wh.spark.createDataFrame(entries, _MANIFEST)
     manifest.coalesce(1).write.mode("overwrite").json(f"{out}/manifest")  # one line per table
     return manifest
