@@ -38,6 +38,58 @@ def test_components_of_many_near_copies(spark):
     assert sorted(((False, r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == cases.jaccard(rows)
 
 
+def test_components_of_large_sets_and_groups(spark):
+    """Sets beyond the 512 ranges on both sides of the limit, in groups of more than three rows, some of them copies or of one id."""
+    rows, at = [], 0
+    for family, size in enumerate((500, 520, 700, 1400)):
+        base = cases.words(size, 300 + family, 100000)
+        for k in range(9):
+            now, step = list(base), 5 * (k + 3)
+            for i in range(k * 7, size, max(5, 6 * step // 5)):
+                now[i] = f"own{k}x{i}"
+            rows.append((at, " ".join(now[k * size // 40:] if k % 2 else now)))
+            at += 1
+        rows += [(at, rows[-1][1]), (at, rows[-4][1]), (at + 1, rows[-2][1])]
+        at += 2
+    got = jaccard.jaccard_components(cases.frame(spark, rows)).collect()
+    want = cases.jaccard(rows)
+    assert sorted(((False, r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+    assert 8 < len({w[3] for w in want}) < len({i for i, _ in rows}) - 4
+
+
+def test_similarity_join_moves_little(spark):
+    """Every passage stands in two texts that are no links: of what is shuffled, with joins as at size, most is the prefixes, once."""
+    passages = [" ".join(cases.words(150, 1000 + i, 1000000)) for i in range(800)]
+    rows = [(i, f"{passages[i - 1]} {passages[i]}") for i in range(800)]
+    jvm = spark.sparkContext._jsc.sc()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        """Bytes by stage."""
+        jvm.listenerBus().waitUntilEmpty(30_000)
+        stages = jvm.statusStore().stageList(None, False, False, none, None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    docs = cases.frame(spark, rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = max(shuffled(), default=-1)
+        got = jaccard.jaccard_components(docs).collect()
+        moved = sum(n for stage, n in shuffled().items() if stage > start)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(r.component_id == r.doc_id for r in got)
+    assert 0 < moved < 14_000_000
+
+
+def test_a_sieve_loses_no_row(spark):
+    ids = spark.range(0, 4000, 7).withColumnRenamed("id", "doc_id")
+    kept = {r.doc_id: r.maybe for r in jaccard.sieved(spark.range(4000).withColumnRenamed("id", "doc_id"), ids, ["doc_id"]).collect()}
+    assert len(kept) == 4000 and all(kept[i] for i in range(0, 4000, 7)) and sum(kept.values()) < 600
+    assert not any(r.maybe for r in jaccard.sieved(ids, ids.filter("doc_id < 0"), ["doc_id"]).collect())
+
+
 def test_components_of_a_graph(spark):
     edges = [(1, 2), (2, 3), (3, 9), (4, 5), (5, 4), (7, 7), (None, 8), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
     got = graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"))
