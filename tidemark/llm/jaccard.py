@@ -331,9 +331,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
     scratch.drop("groups")
     by_chance = scratch.keep(pairs(mixed).join(near, ["a", "b"], "left_anti"), "met_chance")
     by_chance = scratch.keep(similar(by_chance), "pairs_chance")
-    scratch.keep(verified(docs, by_chance, size, percent, scratch, "chance"), "links_chance")
+    by_chance = scratch.keep(verified(docs, by_chance, size, percent, scratch, "chance"), "links_chance")
     scratch.drop("chance_texts", "chance_ids", "met_chance")
-    known = components(scratch.read(links, "links_near", "links_chance"), Scratch(spark, "jaccard-chance"))
+    stars = lambda known: known.select(F.col("node").alias("a"), F.col("component").alias("b"))  # noqa: E731  # in place of the links they stand for
+    known = components(stars(known).union(by_chance), Scratch(spark, "jaccard-chance"))
 
     # what is not in the main component of its group meets the whole group
     split = split_groups(mixed, known).withColumn("rows", F.count("*").over(Window.partitionBy("token", "component")))
@@ -351,9 +352,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col
     left = scratch.keep(left, "pairs_left")
     left = left.join(scratch.read(near, "pairs_near", "pairs_chance"), ["a", "b"], "left_anti")
     left = scratch.keep(similar(left), "left")
-    scratch.keep(verified(docs, left, size, percent, scratch, "left"), "links_far")
-    scratch.keep(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links_copies")
-    found = components(scratch.read(links, "links_near", "links_chance", "links_far", "links_copies"), scratch)
+    far = scratch.keep(verified(docs, left, size, percent, scratch, "left"), "links_far")
+    found = components(stars(known).union(far).union(copies.select("rep", "doc_id")), scratch)
     return (
         signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
         .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
